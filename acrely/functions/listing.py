@@ -12,8 +12,10 @@ from acrely.schema import (
 
 
 def amenities_count(amenities: Column | str = "amenities") -> Column:
+    """Parts of a |-joined list, empty parts included; null and empty text have none."""
     text = F.coalesce(col(amenities), F.lit(""))
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, "[|]")))
+    separators = F.char_length(text) - F.char_length(F.replace(text, F.lit("|"), F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(separators + 1)
 
 
 def amenities_score(count: Column | str = "amenities_count") -> Column:

@@ -42,19 +42,19 @@ def ridge(train: DataFrame, alpha: float = 10.0) -> LinearRegression:
 def forest(trees: int = 200, depth: int = 15, leaf: int = 4, seed: int = 42) -> RandomForestRegressor:
     return RandomForestRegressor(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all",
-        maxBins=64, maxMemoryInMB=2048, seed=seed, cacheNodeIds=False)
+        maxBins=64, seed=seed)
 
 
 def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(
         maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        maxBins=64, maxMemoryInMB=2048, seed=seed)
+        maxBins=64, seed=seed)
 
 
 def boosted_plain(rounds: int = 200, depth: int = 5, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(
         maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="all",
-        maxBins=64, maxMemoryInMB=2048, seed=seed)
+        maxBins=64, seed=seed)
 
 
 def robust() -> LinearRegression:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from acrely.functions.listing import amenities_count
 from acrely.operators.features import numeric_columns
 from acrely.operators.quantiles import table_quantiles
-from acrely.operators.ranks import FEW_CATEGORIES, holdout, ordinals
+from acrely.operators.ranks import FEW_CATEGORIES, holdout, holdout_limit, ordinals
 
 CATEGORICAL = ["city", "locality", "property_type"]
 TARGET = "price"
@@ -63,6 +63,7 @@ class ListingPreprocessor:
     codes: DataFrame | None = None
     feature_columns: list[str] = field(default_factory=list)
     scale: dict[str, tuple[float, float]] = field(default_factory=dict)
+    split_limit: int | None = None
 
     @staticmethod
     def _counted(df: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ class ListingPreprocessor:
         self.feature_columns = [
             c for c in df.columns
             if c not in NOT_FEATURES and (c in present or (c in numbers and c not in text))]
-        train = holdout(df, fraction=self.test_fraction, seed=self.seed).filter(~F.col("is_test"))
+        self.split_limit = holdout_limit(df, fraction=self.test_fraction, seed=self.seed)
+        train = holdout(df, seed=self.seed, limit=self.split_limit).filter(~F.col("is_test"))
         self.scale = standard_params(self._numeric(train), self.feature_columns)
         return self
 
@@ -104,7 +106,7 @@ class ListingPreprocessor:
     def fit_transform(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Train and test tables."""
         self.fit(df)
-        ready = self.transform(holdout(df, fraction=self.test_fraction, seed=self.seed))
+        ready = self.transform(holdout(df, seed=self.seed, limit=self.split_limit))
         return ready.filter(~F.col("is_test")), ready.filter(F.col("is_test"))
 
     # ---- stored as parameter tables -------------------------------------

@@ -63,7 +63,7 @@ def exact_quantiles(
     values = _long(df, columns, by, "double")
     sizes = values.groupBy(*keys).agg(F.count("*").alias("total"))
     positions = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
-    if (sizes.agg(F.max("total")).first()[0] or 0) <= bound:
+    if df.count() <= bound or (sizes.agg(F.max("total")).first()[0] or 0) <= bound:
         counted = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
         counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
         targets = [(f"_lo{i}", F.floor(at)) for i, at in enumerate(positions)]
@@ -122,10 +122,13 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
     return _pick_ranks(counted, slot, F.col("below"), [("value", F.col("rank"))])
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, bound: int = SORTABLE_VALUES):
-    """The integer at a zero-based rank of the sorted column; null when there is no such rank."""
+def value_at_rank(df: DataFrame, column: str, rank: int, total: int | None = None, bound: int = SORTABLE_VALUES):
+    """The integer at a zero-based rank of the sorted column; null when there is no such rank.
+
+    `total` spares counting a table whose size the caller knows.
+    """
     values = _long(df, [column], [], "long")
-    if values.count() <= bound:
+    if (values.count() if total is None else total) <= bound:
         counted = values.groupBy("column", "value").agg(F.count("*").alias("n"))
         found = _pick_ranks(counted, ["column"], F.lit(0), [("value", F.lit(rank))])
     else:

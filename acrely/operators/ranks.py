@@ -17,8 +17,8 @@ FEW_CATEGORIES = 10_000
 def ordinals(df: DataFrame, columns: Sequence[str], few: int = FEW_CATEGORIES) -> DataFrame:
     """(column, category, code): alphabetical zero-based codes; null is the category 'nan'."""
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in columns])
-    found = text.unpivot([], list(columns), "column", "category").distinct()
-    if found.limit(few + 1).count() <= few:
+    found = cut(text.unpivot([], list(columns), "column", "category").distinct())
+    if found.count() <= few:
         order = Window.partitionBy("column").orderBy("category")
         return found.withColumn("code", F.row_number().over(order) - 1)
     # Too many for one task: sort by range, number inside every range, add the ranges in front.
@@ -37,16 +37,24 @@ def split_key(key: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def holdout(df: DataFrame, key: str = "property_id", fraction: float = 0.2, seed: int = 42) -> DataFrame:
+def holdout_limit(df: DataFrame, key: str = "property_id", fraction: float = 0.2, seed: int = 42) -> int:
+    """The hashed id that the ceil(fraction * n) smallest ones end with: one number per table."""
+    total = df.count()
+    n_test = ceil(fraction * total)
+    hashed = df.select(split_key(key, seed).alias("_split"))
+    return value_at_rank(hashed, "_split", n_test - 1, total) if n_test else -1
+
+
+def holdout(
+    df: DataFrame, key: str = "property_id", fraction: float = 0.2, seed: int = 42, limit: int | None = None,
+) -> DataFrame:
     """Add `is_test`: the ceil(fraction * n) rows whose hashed id is smallest.
 
-    The cut-off is one number found by rank selection; rows are then marked in place. Rows with
-    the same id always fall on the same side.
+    The limit is found by rank selection, or given; rows are then marked in place. Rows with the
+    same id always fall on the same side.
     """
-    keyed = df.withColumn("_split", split_key(key, seed))
-    n_test = ceil(fraction * df.count())
-    limit = value_at_rank(keyed, "_split", n_test - 1) if n_test else None
-    return keyed.withColumn("is_test", F.col("_split") <= F.lit(limit).cast("long")).drop("_split")
+    limit = holdout_limit(df, key, fraction, seed) if limit is None else limit
+    return df.withColumn("is_test", split_key(key, seed) <= F.lit(limit).cast("long"))
 
 
 def holdout_by_share(df: DataFrame, key: str = "property_id", fraction: float = 0.2, seed: int = 42) -> DataFrame:

@@ -47,6 +47,22 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(work_dir(spark), "acrely", f"{label}-{uuid.uuid4().hex}")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators rely on. Methods beyond the JIT limit of the JVM would run
+    interpreted, so generated code above it is split per operator instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of an input that has fewer splits than the cluster has cores.
+
+    A table of many files, which is what a large one is, comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` reliably and forget its lineage."""
     work_dir(df.sparkSession)

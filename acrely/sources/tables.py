@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrely.functions.listing import price_per_sqft
+from acrely.session import spread
 from acrely.schema import AMENITIES, CITIES, ENQUIRY_STATUSES, PROPERTY_TYPES
 
 
@@ -26,9 +27,11 @@ def listings(spark: SparkSession, folder: str, lines: DataFrame | None = None) -
     `part` and `supplier` grow with the data, so no broadcast is forced: Spark picks one only
     below its own size threshold and otherwise splits skewed partitions at run time.
     """
-    lines = table(spark, folder, "lineitem") if lines is None else lines
-    line = lines.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+    if lines is None:
+        line = spread(table(spark, folder, "lineitem").select(*needed), "l_orderkey", "l_linenumber")
+    else:
+        line = lines.select(*needed)
     part = table(spark, folder, "part").select("p_partkey", "p_size")
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
