@@ -93,10 +93,10 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
     cell = F.floor(F.col("rank") / F.greatest(F.col("size") - 1, F.lit(1)) * GRID).cast("int")
     brackets = cut(_join(ranks, sketch, keys).select(
         *slot,
-        F.element_at("grid", F.greatest(cell - 1, F.lit(0)) + 1).alias("lo"),
-        F.element_at("grid", F.least(cell + 2, F.lit(GRID)) + 1).alias("hi")))
-    reached = _join(values, brackets, keys).filter(F.col("value") <= F.col("hi"))
-    inside = F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")
+        F.when(cell > 1, F.element_at("grid", F.greatest(cell, F.lit(1)))).alias("lo"),
+        F.when(cell < GRID - 2, F.element_at("grid", F.least(cell + 3, F.lit(GRID)))).alias("hi")))
+    reached = _join(values, brackets, keys).filter(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    inside = F.when(F.col("lo").isNull() | (F.col("value") >= F.col("lo")), F.col("value")).alias("value")
     counted = cut(reached.groupBy(*slot, inside).agg(F.count("*").alias("n")))
     front = counted.filter(F.col("value").isNull()).select(*slot, F.col("n").alias("below"))
     state = _join(brackets.select(*slot), front, slot, "left").select(*slot, F.coalesce("below", F.lit(0)).alias("below"))
@@ -125,7 +125,7 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
 def value_at_rank(df: DataFrame, column: str, rank: int, total: int | None = None, bound: int = SORTABLE_VALUES):
     """The integer at a zero-based rank of the sorted column; null when there is no such rank.
 
-    `total` spares counting a table whose size the caller knows.
+    Integers must be below 2**53, where the sketch tells neighbours apart. `total` spares counting a table whose size the caller knows.
     """
     values = _long(df, [column], [], "long")
     if (values.count() if total is None else total) <= bound:

@@ -320,7 +320,7 @@ INTAKE = f"""{LISTINGS}, intake AS (
     CASE WHEN area_sqft <= 0 THEN 'area_not_positive' END,
     CASE WHEN location_score NOT BETWEEN 0 AND 10 THEN 'location_range' END,
     CASE WHEN price IS NULL THEN 'price_missing' END) AS violations FROM intake)"""
-SPLIT_KEY = "CAST('0x' || substr(md5(property_id || '42'), 1, 15) AS BIGINT)"
+SPLIT_KEY = "CAST('0x' || substr(md5(property_id || '42'), 1, 13) AS BIGINT)"
 
 
 def windows(length: str, slide: str, steps: int) -> str:
@@ -445,7 +445,7 @@ ORACLE: dict[str, str] = {
     "train_test_split": f"""WITH {LISTINGS}, k AS (SELECT property_id, {SPLIT_KEY} AS h FROM listings),
         t AS (SELECT h FROM k QUALIFY row_number() OVER (ORDER BY h) = (SELECT ceil(0.2::DOUBLE * count(*)) FROM k))
         SELECT property_id, CAST(h <= (SELECT h FROM t) AS INTEGER) AS is_test FROM k""",
-    "share_split": f"WITH {LISTINGS} SELECT property_id, CAST({SPLIT_KEY} < {int(0.2 * 16 ** 15)} AS INTEGER) AS is_test FROM listings",
+    "share_split": f"WITH {LISTINGS} SELECT property_id, CAST({SPLIT_KEY} < {int(0.2 * 16 ** 13)} AS INTEGER) AS is_test FROM listings",
     "recommend_batch": recommend(f"q.city = c.city AND {BAND}", 5),
     "recommend_no_city": recommend(BAND, 5),
     "recommend_unfiltered": recommend("true", 10),
