@@ -103,17 +103,13 @@ def bedroom_counts(df: DataFrame) -> DataFrame:
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns (strict lower triangle, long form),
-    each over the rows where both are present. One pass, one row shuffled per task."""
+    each over the rows where both are present. One pass; a task shuffles one row per pair."""
     df = with_amenities_count(df)
     names = list(columns or [c for c in numeric_columns(df) if c != "price_per_sqft"])
-    pairs = list(combinations(range(len(names)), 2))
-    cells = df.agg(*[
-        F.corr(F.col(names[j]).cast("double"), F.col(names[i]).cast("double")).alias(f"{j}_{i}") for i, j in pairs])
-    rows = [
-        F.struct(F.lit(names[j]).alias("row"), F.lit(names[i]).alias("col"), rnd(f"{j}_{i}", 6).alias("corr"))
-        for i, j in pairs
-    ]
-    return cells.select(F.inline(F.array(*rows)))
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    pairs = [x for a, b in combinations(names, 2) for x in (F.lit(b), F.lit(a), F.col(b), F.col(a))]
+    long = numbers.select(F.stack(F.lit(len(pairs) // 4), *pairs).alias("row", "col", "y", "x"))
+    return long.groupBy("row", "col").agg(rnd(F.corr("y", "x"), 6).alias("corr"))
 
 
 def histogram(df: DataFrame, value: Column, bins: int = BINS) -> DataFrame:

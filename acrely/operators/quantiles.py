@@ -1,10 +1,10 @@
 """Exact quantiles and ranks that never gather a column in one task.
 
-Small inputs: count equal values first (which collapses hot values on the map side), then order
-the distinct values of one column and group. Large inputs: one pass with a fixed-size sketch
-gives a bracket around every wanted rank, a second pass counts the values inside the brackets,
-and cell counts shrink a bracket further until one task can order it. Hence the input is read
-twice whatever its size, and the answer is exact.
+Equal values are counted first, which collapses hot values on the map side. Small inputs: the
+distinct values fall into equal cells, and only the cells that hold a wanted rank are ordered.
+Large inputs: one pass with a fixed-size sketch gives a bracket around every wanted rank, a second
+pass counts the values inside the brackets, and cell counts shrink a bracket further until one task
+can order it. The input is read twice or three times whatever its size, and the answer is exact.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from acrely.session import cut
 
-SORTABLE_VALUES = 2_000_000  # distinct values one sorting task is trusted with
+SORTABLE_VALUES = 2_000_000  # distinct values one task is trusted with
 GRID = 2_000                 # bracket candidates per sketch
 SKETCH_ACCURACY = 20_000     # the sketch's rank error is total/SKETCH_ACCURACY, below one grid step
-CELLS = 4_096                # cells a wide bracket is cut into
+CELLS = 4_096                # cells a range of values is cut into
+FEW_GROUPS = 10_000          # group rows that may be sent to every task
 
 
 def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], kind: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def _pick_ranks(
-    counted: DataFrame, keys: list[str], below: Column, targets: Sequence[tuple[str, Column]], *extra: Column,
+    counted: DataFrame, keys: list[str], below: Column, targets: Sequence[tuple[str, Column]],
 ) -> DataFrame:
     """Values at zero-based ranks, from (keys, value, n) rows; `below` values lie in front of them."""
     ordered = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +46,7 @@ def _pick_ranks(
         F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("value"))).alias(name)
         for name, rank in targets
     ]
-    return placed.groupBy(*keys).agg(*hits, *extra)
+    return placed.groupBy(*keys).agg(*hits)
 
 
 def _between(low: str, high: str, position: Column) -> Column:
@@ -53,6 +54,45 @@ def _between(low: str, high: str, position: Column) -> Column:
     return F.col(low) + (F.col(high) - F.col(low)) * fraction
 
 
+def _cell(value: str, low: str, high: str) -> Column:
+    """Which of the equal cells of [low, high] a value is in; one value alone is in the first."""
+    low, high = F.col(low).cast("double"), F.col(high).cast("double")
+    share = F.coalesce(F.try_divide(F.col(value).cast("double") - low, high - low), F.lit(0.0))
+    return F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _counted_cells(values: DataFrame, sizes: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """(keys, cell, value, n), one row per distinct value."""
+    placed = _join(values, _small(sizes.select(*keys, "lo", "hi"), few), keys)
+    return placed.groupBy(*keys, _cell("value", "lo", "hi").alias("cell"), "value").agg(F.count("*").alias("n"))
+
+
+def _pick_from_cells(
+    counted: DataFrame, sizes: DataFrame, keys: list[str], positions: Sequence[Column], few: bool,
+) -> DataFrame:
+    """(keys, total, _lo0, _hi0, _lo1, ...): the values on both sides of every position."""
+    targets = {f"_{side}{i}": f(at) for i, at in enumerate(positions) for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    cells = counted.groupBy(*keys, "cell").agg(F.sum("n").alias("in_cell"))
+    in_order = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("before", F.sum("in_cell").over(in_order) - F.col("in_cell"))
+    cells = _join(cells, _small(sizes.select(*keys, "total"), few), keys)
+    wanted = F.lit(False)
+    for rank in targets.values():
+        wanted = wanted | ((F.col("before") <= rank) & (rank < F.col("before") + F.col("in_cell")))
+    chosen = cells.filter(wanted).drop("in_cell")
+    open_cells = _join(counted, _small(chosen, few), [*keys, "cell"])
+    in_order = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = open_cells.withColumn("_upto", F.col("before") + F.sum("n").over(in_order)).withColumn(
+        "_from", F.col("_upto") - F.col("n"))
+    return placed.groupBy(*keys).agg(F.max("total").alias("total"), *[
+        F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("value"))).alias(name)
+        for name, rank in targets.items()])
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (),
     bound: int = SORTABLE_VALUES,
@@ -61,21 +101,20 @@ def exact_quantiles(
     order of `probabilities`, and `total`, the number of values. Nulls are ignored."""
     keys = [*by, "column"]
     values = _long(df, columns, by, "double")
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("total"))
     positions = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
-    if df.count() <= bound or (sizes.agg(F.max("total")).first()[0] or 0) <= bound:
-        counted = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-        counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-        targets = [(f"_lo{i}", F.floor(at)) for i, at in enumerate(positions)]
-        targets += [(f"_hi{i}", F.ceil(at)) for i, at in enumerate(positions)]
-        picked = _pick_ranks(counted, keys, F.lit(0), targets, F.max("total").alias("total"))
+    sizes = cut(values.groupBy(*keys).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total")))
+    groups, largest = sizes.agg(F.count("*"), F.max("total")).first()
+    if (largest or 0) <= bound:
+        few = groups <= FEW_GROUPS
+        picked = _pick_from_cells(_counted_cells(values, sizes, keys, few), sizes, keys, positions, few)
         return picked.select(*keys, "total", *[
             _between(f"_lo{i}", f"_hi{i}", at).alias(f"q{i}") for i, at in enumerate(positions)])
 
-    sizes = cut(sizes)
     ranks = sizes.select(*keys, F.explode(F.array_distinct(F.array(*[
         side(at) for at in positions for side in (F.floor, F.ceil)]))).alias("rank"))
-    found = values_at_ranks(values, keys, ranks, bound)
+    few = groups * 2 * len(probabilities) <= FEW_GROUPS
+    found = values_at_ranks(values, keys, ranks, bound, few)
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     answers = _join(sizes, by_rank, keys)
     for i, at in enumerate(positions):
@@ -84,8 +123,11 @@ def exact_quantiles(
         _between(f"_lo{i}", f"_hi{i}", at).alias(f"q{i}") for i, at in enumerate(positions)])
 
 
-def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound: int) -> DataFrame:
-    """(keys, rank, value) for every (keys, rank) of `ranks`, over the rows (keys, value)."""
+def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound: int, few: bool) -> DataFrame:
+    """(keys, rank, value) for every (keys, rank) of `ranks`, over the rows (keys, value).
+
+    `few` says that `ranks` may be sent to every task; then no value is shuffled before it is counted.
+    """
     slot = [*keys, "rank"]
     sketch = values.groupBy(*keys).agg(
         F.count("*").alias("size"),
@@ -95,7 +137,7 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
         *slot,
         F.when(cell > 1, F.element_at("grid", F.greatest(cell, F.lit(1)))).alias("lo"),
         F.when(cell < GRID - 2, F.element_at("grid", F.least(cell + 3, F.lit(GRID)))).alias("hi")))
-    reached = _join(values, brackets, keys).filter(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    reached = _join(values, _small(brackets, few), keys).filter(F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
     inside = F.when(F.col("lo").isNull() | (F.col("value") >= F.col("lo")), F.col("value")).alias("value")
     counted = cut(reached.groupBy(*slot, inside).agg(F.count("*").alias("n")))
     front = counted.filter(F.col("value").isNull()).select(*slot, F.col("n").alias("below"))
@@ -104,10 +146,7 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
 
     while (open_values.groupBy(*slot).count().agg(F.max("count")).first()[0] or 0) > bound:
         span = open_values.groupBy(*slot).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        width = F.col("hi").cast("double") - F.col("lo").cast("double")
-        step = F.coalesce(F.try_divide(F.col("value").cast("double") - F.col("lo").cast("double"), width), F.lit(0.0))
-        celled = _join(open_values, span, slot).select(
-            *slot, "value", "n", F.least(F.floor(step * CELLS), F.lit(CELLS - 1)).alias("cell"))
+        celled = _join(open_values, _small(span, few), slot).select(*slot, "value", "n", _cell("value", "lo", "hi").alias("cell"))
         cells = celled.groupBy(*slot, "cell").agg(F.sum("n").alias("n"))
         ordered = Window.partitionBy(*slot).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         upto = F.col("below") + F.col("before") + F.col("n")
@@ -115,27 +154,32 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
             _join(cells.withColumn("before", F.sum("n").over(ordered) - F.col("n")), state, slot)
             .filter((F.col("below") + F.col("before") <= F.col("rank")) & (F.col("rank") < upto))
             .select(*slot, "cell", (F.col("below") + F.col("before")).alias("below")))
-        open_values = cut(_join(celled, chosen.drop("below"), [*slot, "cell"]).select(*slot, "value", "n"))
+        open_values = cut(_join(celled, _small(chosen.drop("below"), few), [*slot, "cell"]).select(*slot, "value", "n"))
         state = chosen.drop("cell")
 
     counted = _join(open_values, state, slot)
     return _pick_ranks(counted, slot, F.col("below"), [("value", F.col("rank"))])
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, total: int | None = None, bound: int = SORTABLE_VALUES):
+def value_at_rank(df: DataFrame, column: str, rank: int, few: int = CELLS) -> int | None:
     """The integer at a zero-based rank of the sorted column; null when there is no such rank.
 
-    Integers must be below 2**53, where the sketch tells neighbours apart. `total` spares counting a table whose size the caller knows.
+    Every pass counts the rows in equal cells of the open range, at most `CELLS` numbers, and goes
+    on with the cell that holds the rank, until that cell has few rows.
     """
-    values = _long(df, [column], [], "long")
-    if (values.count() if total is None else total) <= bound:
-        counted = values.groupBy("column", "value").agg(F.count("*").alias("n"))
-        found = _pick_ranks(counted, ["column"], F.lit(0), [("value", F.lit(rank))])
-    else:
-        ranks = df.sparkSession.range(1).select(F.lit(column).alias("column"), F.lit(rank).cast("long").alias("rank"))
-        found = values_at_ranks(values, ["column"], ranks, bound)
-    row = found.first()
-    return None if row is None else row["value"]
+    low, high, size = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not 0 <= rank < size:
+        return None
+    while low < high:
+        step = 1 if size <= few else (high - low) // CELLS + 1
+        inside = df.filter(F.col(column).between(low, high))
+        cells = inside.groupBy(F.expr(f"(`{column}` - {low}L) div {step}L").alias("cell")).count()
+        for cell, size in sorted(cells.collect()):
+            if rank < size:
+                break
+            rank -= size
+        low, high = low + cell * step, min(high, low + (cell + 1) * step - 1)
+    return low
 
 
 def table_quantiles(
