@@ -77,7 +77,7 @@ class ListingPreprocessor:
         present = [c for c in CATEGORICAL if c in df.columns]
         numbers = [c for c in numeric_columns(df) if c != TARGET]
         self.fill = {c: v for c, v in medians(df, numbers).items() if v is not None}
-        self.codes = ordinals(df, present).persist()
+        self.codes = ordinals(df, present)
         text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
         self.feature_columns = [
             c for c in df.columns

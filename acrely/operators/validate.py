@@ -36,5 +36,11 @@ def check_signups(forms: DataFrame) -> DataFrame:
 
 
 def accept_signups(checked: DataFrame, known: DataFrame) -> DataFrame:
-    """Acceptable forms whose address nobody has used; `known` may repeat addresses."""
-    return checked.filter(F.col("problem").isNull()).drop("problem").join(known.select("email"), "email", "left_anti")
+    """Acceptable forms whose address nobody has used, the first form per address.
+
+    Addresses are made distinct on both sides first, so one that comes very often is one row.
+    """
+    good = checked.filter(F.col("problem").isNull()).drop("problem")
+    rest = [c for c in good.columns if c not in ("email", "form_id")]
+    first = good.groupBy("email").agg(F.min(F.struct("form_id", *rest)).alias("_first")).select("_first.*", "email")
+    return first.join(known.select("email").distinct(), "email", "left_anti")

@@ -85,12 +85,13 @@ def test_violations_and_split(spark):
 def test_signups(spark):
     forms = spark.createDataFrame(
         [(1, " Asha ", "Rao", " A@X.in ", 6), (2, " ", "Rao", "b@x.in", 9), (3, "C", "D", "no-at", 9), (4, "E", "F", "e@x.in", 5),
-         (5, "G", "H", None, 9), (6, "I", "J", "known@x.in", 9)],
+         (5, "G", "H", None, 9), (6, "I", "J", "known@x.in", 9),
+         (7, "Later", "Rao", "a@x.in", 9)],
         "form_id long, first_name string, last_name string, email string, password_length int")
     known = spark.createDataFrame([("known@x.in",), ("known@x.in",), (None,)], "email string")
     checked = validate.check_signups(forms)
-    assert [r.problem for r in checked.orderBy("form_id").collect()] == [None, "name", "email", "password", "email", None]
-    assert [r.email for r in validate.accept_signups(checked, known).collect()] == ["a@x.in"]
+    assert [r.problem for r in checked.orderBy("form_id").collect()] == [None, "name", "email", "password", "email", None, None]
+    assert [(r.form_id, r.email) for r in validate.accept_signups(checked, known).collect()] == [(1, "a@x.in")]
 
 
 def test_sql_functions(spark):

@@ -35,6 +35,8 @@ def test_inventory_by_id(spark, tmp_path):
            "P2": {"property_id": "P2", "price_range": {"min": 1, "max": 2}}}
     (tmp_path / "i.json").write_text(json.dumps(doc, indent=1))
     got = {r.key: r for r in files.read_inventory(spark, str(tmp_path / "i.json")).collect()}
+    (tmp_path / "l.json").write_text("\n".join(json.dumps({k: v}) for k, v in doc.items()))
+    assert files.read_inventory(spark, str(tmp_path / "l.json"), lines=True).count() == 2
     assert got["P1"].unit_types[0].type == "A" and got["P2"].price_range.max == 2 and got["P2"].total_units is None
 
 
