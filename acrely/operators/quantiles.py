@@ -1,21 +1,22 @@
 """Exact quantiles and ranks that never gather a column in one task.
 
-Equal values are counted first, which collapses hot values on the map side. Small inputs: the
-distinct values fall into equal cells, and only the cells that hold a wanted rank are ordered.
-Large inputs: one pass with a fixed-size sketch gives a bracket around every wanted rank, a second
-pass counts the values inside the brackets, and cell counts shrink a bracket further until one task
-can order it. The input is read twice or three times whatever its size, and the answer is exact.
+The rows per group are counted first. Small groups use the built-in percentile. Otherwise equal
+values are counted, which collapses hot values on the map side. Medium groups: the distinct values
+fall into equal cells, and only the cells that hold a wanted rank are ordered. Large groups: one
+pass with a fixed-size sketch gives a bracket around every wanted rank, a second pass counts the
+values inside the brackets, and cell counts shrink a bracket further until one task can order it. The input is read twice or three times whatever its size, and the answer is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrely.session import cut
 
+BUFFERED_VALUES = 100_000    # values of a group that the built-in percentile may hold
 SORTABLE_VALUES = 2_000_000  # distinct values one task is trusted with
 GRID = 2_000                 # bracket candidates per sketch
 SKETCH_ACCURACY = 20_000     # the sketch's rank error is total/SKETCH_ACCURACY, below one grid step
@@ -93,6 +94,20 @@ def _pick_from_cells(
         for name, rank in targets.items()])
 
 
+def _buffered(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The built-in percentile, whose buffer holds a group's values: for groups known to be small."""
+    wanted = [float(p) for p in probabilities]
+    found = df.groupBy(*by).agg(*[
+        part for i, c in enumerate(columns) for part in (
+            F.percentile(F.col(c).cast("double"), wanted).alias(f"_q{i}"), F.count(c).alias(f"_n{i}"))])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("total"), *[
+            F.col(f"_q{i}")[k].alias(f"q{k}") for k in range(len(wanted))])
+        for i, c in enumerate(columns)
+    ]
+    return found.select(*by, F.inline(F.array(*rows))).filter(F.col("total") > 0)
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (),
     bound: int = SORTABLE_VALUES,
@@ -105,7 +120,9 @@ def exact_quantiles(
     sizes = cut(values.groupBy(*keys).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total")))
     groups, largest = sizes.agg(F.count("*"), F.max("total")).first()
-    if (largest or 0) <= bound:
+    if (largest or 0) <= min(bound, BUFFERED_VALUES):
+        return _buffered(df, columns, probabilities, by)
+    if largest <= bound:
         few = groups <= FEW_GROUPS
         picked = _pick_from_cells(_counted_cells(values, sizes, keys, few), sizes, keys, positions, few)
         return picked.select(*keys, "total", *[
@@ -161,23 +178,32 @@ def values_at_ranks(values: DataFrame, keys: list[str], ranks: DataFrame, bound:
     return _pick_ranks(counted, slot, F.col("below"), [("value", F.col("rank"))])
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int, few: int = CELLS) -> int | None:
+def value_at_rank(
+    df: DataFrame, column: str, rank: Callable[[int], int], within: tuple[int, int] | None = None, few: int = CELLS,
+) -> int | None:
     """The integer at a zero-based rank of the sorted column; null when there is no such rank.
 
-    Every pass counts the rows in equal cells of the open range, at most `CELLS` numbers, and goes
-    on with the cell that holds the rank, until that cell has few rows.
+    `rank` gets the number of rows, which the first pass counts; `within` spares looking for the
+    smallest and largest value. Every pass counts the rows in equal cells of the open range, at most
+    `CELLS` numbers, and goes on with the cell that holds the rank, until that cell has few rows.
     """
-    low, high, size = df.agg(F.min(column), F.max(column), F.count(column)).first()
-    if not 0 <= rank < size:
-        return None
-    while low < high:
-        step = 1 if size <= few else (high - low) // CELLS + 1
-        inside = df.filter(F.col(column).between(low, high))
-        cells = inside.groupBy(F.expr(f"(`{column}` - {low}L) div {step}L").alias("cell")).count()
-        for cell, size in sorted(cells.collect()):
-            if rank < size:
+    low, high = within or df.agg(F.min(column), F.max(column)).first()
+    size, left = None, 0
+    while low is not None and (size is None or low < high):
+        step = 1 if size is not None and size <= few else (high - low) // CELLS + 1
+        # Rows outside share one group instead of being filtered, so the column is derived once.
+        place = F.expr(f"CASE WHEN `{column}` BETWEEN {low}L AND {high}L THEN (`{column}` - {low}L) div {step}L END")
+        counts = df.select(place.alias("cell")).groupBy("cell").count().collect()
+        cells = [(cell, n) for cell, n in counts if cell is not None]
+        if size is None:
+            size = sum(n for _, n in cells)
+            left = rank(size)
+            if not 0 <= left < size:
+                return None
+        for cell, size in sorted(cells):
+            if left < size:
                 break
-            rank -= size
+            left -= size
         low, high = low + cell * step, min(high, low + (cell + 1) * step - 1)
     return low
 

@@ -39,8 +39,8 @@ def split_key(key: str, seed: int) -> Column:
 
 def holdout_limit(df: DataFrame, key: str = "property_id", fraction: float = 0.2, seed: int = 42) -> int:
     """The hashed id that the ceil(fraction * n) smallest ones end with: one number per table."""
-    n_test = ceil(fraction * df.count())
-    limit = value_at_rank(df.select(split_key(key, seed).alias("_split")), "_split", n_test - 1)
+    hashed = df.select(split_key(key, seed).alias("_split"))
+    limit = value_at_rank(hashed, "_split", lambda n: ceil(fraction * n) - 1, (0, 16 ** 13 - 1))
     return -1 if limit is None else limit
 
 

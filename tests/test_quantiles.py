@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from acrely.operators import quantiles
 from acrely.operators.quantiles import exact_quantiles, table_quantiles, value_at_rank
 from acrely.operators.ranks import holdout, ordinals
 
@@ -22,16 +23,18 @@ def frame(spark, kind, n=4000, seed=7):
 
 
 @pytest.mark.parametrize("kind", ["smooth", "hot", "skewed", "equal", "few"])
-@pytest.mark.parametrize("bound", [1_000_000, 40])
-def test_quantiles_equal_brute_force(spark, kind, bound):
+@pytest.mark.parametrize("bound,buffered", [(1_000_000, 100_000), (1_000_000, 0), (40, 0)])
+def test_quantiles_equal_brute_force(spark, monkeypatch, kind, bound, buffered):
+    monkeypatch.setattr(quantiles, "BUFFERED_VALUES", buffered)
     rows, df = frame(spark, kind)
     want = np.quantile([v for _, v in rows if v is not None], PROBS)
     got = table_quantiles(df, ["x"], PROBS, bound=bound)["x"]
     np.testing.assert_allclose(got, want, rtol=1e-12)
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 25])
-def test_grouped_quantiles_keep_null_groups(spark, bound):
+@pytest.mark.parametrize("bound,buffered", [(1_000_000, 100_000), (1_000_000, 0), (25, 0)])
+def test_grouped_quantiles_keep_null_groups(spark, monkeypatch, bound, buffered):
+    monkeypatch.setattr(quantiles, "BUFFERED_VALUES", buffered)
     rows, df = frame(spark, "hot")
     got = {r["g"]: r for r in exact_quantiles(df, ["x"], [0.25, 0.9], by=["g"], bound=bound).collect()}
     assert set(got) == {"a", "b", None}
@@ -54,15 +57,15 @@ def test_value_at_rank(spark, few):
     df = spark.createDataFrame([(int(v),) for v in values], "h long")
     ordered = np.sort(values)
     for rank in (0, 599, 2999):
-        assert value_at_rank(df, "h", rank, few=few) == ordered[rank]
+        assert value_at_rank(df, "h", lambda n: rank, few=few) == ordered[rank]
     hot = spark.createDataFrame([(7,)] * 50 + [(i,) for i in range(60)], "h long")
-    assert [value_at_rank(hot, "h", r, few=few) for r in (0, 6, 7, 57, 58, 109, 110)] == [0, 6, 7, 7, 8, 59, None]
+    assert [value_at_rank(hot, "h", lambda n: r, few=few) for r in (0, 6, 7, 57, 58, 109, 110)] == [0, 6, 7, 7, 8, 59, None]
 
 
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "x double")
     assert table_quantiles(empty, ["x"], [0.5]) == {}
-    assert value_at_rank(spark.createDataFrame([], "h long"), "h", 0) is None
+    assert value_at_rank(spark.createDataFrame([], "h long"), "h", lambda n: 0) is None
 
 
 @pytest.mark.parametrize("few", [10_000, 3])
