@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
@@ -47,11 +50,36 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(work_dir(spark), "acrely", f"{label}-{uuid.uuid4().hex}")
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system delete `path` when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that functions that run in
+    tasks can be imported there whatever the workers' own path holds."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="acrely-code-"), "acrely-code.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on. Methods beyond the JIT limit of the JVM would run
     interpreted, so generated code above it is split per operator instead."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -65,7 +93,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from there: its lineage ends, a lost executor costs
-    nothing, and Spark knows its size."""
+    nothing, and Spark knows its size. The folder goes when the application ends."""
     path = fresh_dir(df.sparkSession, "cut")
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
