@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import exact_dedup
+from acrely.llm import decontaminate, exact_dedup
 from acrely.llm.common import table
 from acrely.session import prepare
 
@@ -39,3 +39,38 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)"""
+
+
+@query
+def op10_benchmark_decontamination(spark, folder):
+    found = decontaminate.annotate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "_found.n_words", "_found.n_hit", F.size("_found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+DECONTAMINATED = f"""d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ITEM_WORD}') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ITEM_WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS words
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s(p) WHERE len(w) > 0),
+places AS (
+  SELECT rid, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS words
+  FROM d, (SELECT DISTINCT n FROM windows) AS l, unnest(range(1, len(w) - n + 2)) AS s(p)),
+hits AS (SELECT DISTINCT rid, p, n, item_id FROM places JOIN windows USING (n, words)),
+hit_words AS (SELECT rid, count(DISTINCT x) AS n_hit FROM hits, unnest(range(p, p + n)) AS s(x) GROUP BY rid),
+hit_items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid),
+judged AS (
+  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid))"""
+ORACLE["op10_benchmark_decontamination"] = f"""
+WITH {DECONTAMINATED}
+SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged"""
