@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import decontaminate, exact_dedup
+from acrely.llm import chat_format, decontaminate, exact_dedup
 from acrely.llm.common import table
 from acrely.session import prepare
 
@@ -74,3 +74,28 @@ judged AS (
 ORACLE["op10_benchmark_decontamination"] = f"""
 WITH {DECONTAMINATED}
 SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged"""
+
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"  # the text of conversation -7
+
+
+@query
+def op8_chat_formatting(spark, folder):
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.digests(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text")))))
+
+
+ORACLE["op8_chat_formatting"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+t AS (
+  SELECT *, replace(replace(role, '\\', '\\\\'), '<', '\\<') AS role_out, replace(replace(body, '\\', '\\\\'), '<', '\\<') AS body_out,
+    role = 'assistant' AS learnt FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+  CAST(sum(CASE WHEN learnt THEN length(body) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN learnt THEN body ELSE '' END, '' ORDER BY turn, role, body)) AS loss_sha256,
+  CAST(sum(length('<turn>' || role_out || '<body>' || body_out || '</turn>')) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
