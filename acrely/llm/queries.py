@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup
+from acrely.llm import chat_format, decontaminate, exact_dedup, mixing
 from acrely.llm.common import table
 from acrely.session import prepare
 
@@ -99,3 +99,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || body |
   sha256(string_agg(CASE WHEN learnt THEN body ELSE '' END, '' ORDER BY turn, role, body)) AS loss_sha256,
   CAST(sum(length('<turn>' || role_out || '<body>' || body_out || '</turn>')) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+
+@query
+def op9_entropy_mixing(spark, folder):
+    sized = mixing.sized(table(spark, folder, "documents"), keep=["doc_id", "source"])
+    mixed = mixing.mix(sized)
+    return mixed.select(
+        "doc_id", "_mix.size", "_mix.source_size", "_mix.target",
+        (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
