@@ -24,7 +24,13 @@ from pyspark.sql import functions as F
 from acrely.llm.common import ascii_lower, hot_groups
 from acrely.session import forget_at_exit, fresh_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no megabytes reserved per state partition
+}
 BATCH_BYTES = 256 * 1024 * 1024  # input of one micro-batch
 SPLIT_ROWS = 20_000              # rows of a hot group that are compared in one task
 
@@ -112,15 +118,15 @@ def exact_dedup(
             "doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"),
             F.lit(True).alias("kept"), F.col("text").alias("text_sha256"), F.col("text").alias("locator"))
     out, checkpoint = fresh_dir(spark, "dedup-state"), fresh_dir(spark, "dedup-checkpoint")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = keep_state(follow(spark, path, batch_bytes), out, checkpoint, doc_id, text, digest)
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
         for folder in (out, checkpoint):
             forget_at_exit(spark, folder)
 
