@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, mixing
+from acrely.llm import chat_format, decontaminate, exact_dedup, kd_shards, mixing
 from acrely.llm.common import table
 from acrely.session import prepare
 
@@ -108,3 +108,11 @@ def op9_entropy_mixing(spark, folder):
     return mixed.select(
         "doc_id", "_mix.size", "_mix.source_size", "_mix.target",
         (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+
+
+@query
+def op6_kd_sharding(spark, folder):
+    sharded = kd_shards.kd_shards(table(spark, folder, "documents"))
+    return sharded.select(
+        "doc_id", "_shard.size", F.col("_shard.crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"))
