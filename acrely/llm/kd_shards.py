@@ -7,7 +7,7 @@ thousand cells of the node's range, then in a thousand cells of the cell that ho
 until one row is left; equal values are told apart by a hash of the row. What reaches the driver is
 a thousand sums per open node; the tree itself has fewer nodes than two per shard.
 
-A row finds its shard by coming down the tree, whose few splits are literals of the expression. Slots are
+A row finds its shard by coming down the tree, a join with the few splits of each level. Slots are
 numbered in blocks of a bounded number of rows, whose offsets are running counts.
 
 Defined cases: a null text has 16 bytes and checksum 0; null metadata counts as the smallest value;
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -78,28 +78,29 @@ def keyed(docs: DataFrame, dims: Sequence[str], doc_id: str = "doc_id", text: st
     ).withColumn(TIE, F.shiftrightunsigned(F.xxhash64("id", "crc32"), 2))
 
 
-def _lookup(rows: Sequence[tuple[int, Column]], key: str) -> Column:
-    """A literal map: there are fewer entries than shards."""
-    return F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in rows]), F.array(*[v for _, v in rows])), F.col(key))
+def _few(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A broadcast table of fewer rows than shards, all of them numbers, truth values or null."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    cells = ", ".join("(" + ", ".join("null" if v is None else str(v).lower() for v in row) + ")" for row in rows)
+    local = spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(names)})")
+    return F.broadcast(local.selectExpr(*[f"CAST({x.split()[0]} AS {x.split()[1]})" for x in schema.split(", ")]))
 
 
-def _value(number: Column, dims: Sequence[str]) -> Column:
-    """The key of a dimension by its number; the hash comes after the dimensions."""
-    return F.coalesce(*[F.when(number == i, F.col(k)) for i, k in enumerate((*dims, TIE))])
+def _value(dims: Sequence[str]) -> Column:
+    """The key of the dimension numbered `dim`; the hash comes after the dimensions."""
+    return F.coalesce(*[F.when(F.col("dim") == i, F.col(k)) for i, k in enumerate((*dims, TIE))])
 
 
 def descend(rows: DataFrame, levels: Sequence[Sequence[tuple]], dims: Sequence[str]) -> DataFrame:
     """`rows` with `_node`, the first shard of the node they have come down to."""
     out = rows.withColumn("_node", F.lit(0))
     for splits in levels:
-        split = [
-            (first, F.struct(
-                F.lit(dim).alias("dim"), F.lit(at).cast("long").alias("at"), F.lit(tie).cast("long").alias("tie"), F.lit(high).alias("high")))
-            for first, dim, at, tie, high in splits]
-        key, at, tie, hash_ = _value(F.col("_split.dim"), dims), F.col("_split.at"), F.col("_split.tie"), F.col(TIE)
-        beyond = F.when(F.col("_split.dim") == len(dims), hash_ > tie).otherwise((key > at) | ((key == at) & (hash_ > tie)))
-        out = out.withColumn("_split", _lookup(split, "_node")).withColumn(
-            "_node", F.when(beyond, F.col("_split.high")).otherwise(F.col("_node"))).drop("_split")
+        split = _few(rows.sparkSession, splits, "_node int, dim int, at long, at_tie long, high int")
+        key, tie = _value(dims), F.col(TIE)
+        beyond = F.when(F.col("dim") == len(dims), tie > F.col("at_tie")).otherwise(
+            (key > F.col("at")) | ((key == F.col("at")) & (tie > F.col("at_tie"))))
+        out = out.join(split, "_node", "left").withColumn(
+            "_node", F.when(beyond, F.col("high")).otherwise(F.col("_node"))).drop("dim", "at", "at_tie", "high")
     return out
 
 
@@ -160,16 +161,13 @@ def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> list[list[tuple]]
 
 def _count_cells(here: DataFrame, running: list[Search], dims: Sequence[str]) -> None:
     """One pass: the bytes in the cells of every search's range."""
-    wanted = [
-        (s.first, F.struct(
-            F.lit(s.dim).alias("dim"), F.lit(s.on_tie).alias("on_tie"), F.lit(s.value).cast("long").alias("value"),
-            F.lit(s.lo).cast("long").alias("lo"), F.lit(s.hi).cast("long").alias("hi"), F.lit(s.width).cast("long").alias("width")))
-        for s in running]
-    searched = here.withColumn("_s", _lookup(wanted, "_node")).withColumn("_dim", _value(F.col("_s.dim"), dims)).withColumn(
-        "_key", F.when(F.col("_s.on_tie"), F.col(TIE)).otherwise(F.col("_dim")))
+    wanted = _few(
+        here.sparkSession, [(s.first, s.dim, s.on_tie, s.value, s.lo, s.hi, s.width) for s in running],
+        "_node int, dim int, on_tie boolean, value long, lo long, hi long, width long")
+    searched = here.join(wanted, "_node").withColumn("_key", F.when(F.col("on_tie"), F.col(TIE)).otherwise(_value(dims)))
     inside = searched.filter(
-        F.col("_key").between(F.col("_s.lo"), F.col("_s.hi")) & (F.col("_s.value").isNull() | (F.col("_dim") == F.col("_s.value"))))
-    counted = inside.groupBy("_node", F.expr("(_key - _s.lo) div _s.width").alias("_cell")).agg(
+        F.col("_key").between(F.col("lo"), F.col("hi")) & (F.col("value").isNull() | (_value(dims) == F.col("value"))))
+    counted = inside.groupBy("_node", F.expr("(_key - lo) div width").alias("_cell")).agg(
         F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("_key").alias("lo"), F.max("_key").alias("hi"),
         F.min(TIE).alias("tie_lo"), F.max(TIE).alias("tie_hi")).collect()
     by_node: dict[int, list] = {}
