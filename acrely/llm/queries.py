@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, kd_shards, mixing
-from acrely.llm.common import table
+from acrely.llm import chat_format, decontaminate, exact_dedup, kd_shards, language_id, mixing
+from acrely.llm.common import fold, table
 from acrely.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,11 @@ def op6_kd_sharding(spark, folder):
     return sharded.select(
         "doc_id", "_shard.size", F.col("_shard.crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
         "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs, language_id.training_rows())
+    found = language_id.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.ambiguous")
