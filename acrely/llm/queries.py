@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, kd_shards, language_id, mixing
+from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing
 from acrely.llm.common import fold, table
 from acrely.session import prepare
 
@@ -124,3 +124,29 @@ def op7_language_id(spark, folder):
     model = language_id.fit(docs, language_id.training_rows())
     found = language_id.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "_lang.lang_pred", "_lang.score", "_lang.ambiguous")
+
+
+@query
+def op1_ngram_jaccard_join(spark, folder):
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+# Links between distinct sets are found over shared shingles; components by walking them from every set.
+ORACLE["op1_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+    list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS grams
+  FROM d),
+c AS (SELECT grams, min(doc_id) AS node, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
+g AS (SELECT node, n, unnest(grams) AS gram FROM c),
+l AS (
+  SELECT x.node AS a, y.node AS b FROM g AS x JOIN g AS y ON x.gram = y.gram AND x.node <> y.node
+  GROUP BY x.node, y.node, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach(node, far) AS (
+  SELECT DISTINCT a, a FROM l UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.far = l.a),
+comp AS (SELECT node, min(far) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(comp.component, c.node, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.grams = c.grams LEFT JOIN comp ON comp.node = c.node"""
