@@ -55,3 +55,12 @@ def append(
                 [*batch.columns[:-1], pa.StructArray.from_arrays(found, names=names)], names=[*kept, into])
 
     return source.mapInArrow(run, out)
+
+
+def sampled(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """About `most` rows of a larger table, drawn by a hash of `key`; the whole of a smaller one."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    chance = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.filter(chance < most / n)

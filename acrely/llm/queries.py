@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing
+from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing, quality
 from acrely.llm.common import fold, table
 from acrely.session import prepare
 
@@ -150,3 +150,12 @@ reach(node, far) AS (
 comp AS (SELECT node, min(far) AS component FROM reach GROUP BY node)
 SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(comp.component, c.node, s.doc_id) AS component_id
 FROM s LEFT JOIN c ON s.grams = c.grams LEFT JOIN comp ON comp.node = c.node"""
+
+
+@query
+def op2_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), quality.training_rows())
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "_quality.score", (F.col("_quality.score") >= 0.5).cast("int").alias("predicted"))
