@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing, quality
+from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing, quality, toxicity
 from acrely.llm.common import fold, table
 from acrely.session import prepare
 
@@ -159,3 +159,12 @@ def op2_quality_classifier(spark, folder):
     found = quality.score(docs, model, keep=["doc_id"])
     return found.select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "_quality.score", (F.col("_quality.score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), toxicity.training_rows())
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "_toxicity.score", (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"))
