@@ -324,3 +324,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = members.filter(F.col("n") == 0).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of every component: that of the smallest identifier.
+
+    Rows without an identifier cannot be told apart and stay.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    keepers = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keeper")).distinct()
+    named = docs.filter(F.col(doc_id).isNotNull()).join(keepers, F.col(doc_id) == F.col("_keeper"), "left_semi")
+    return named.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))

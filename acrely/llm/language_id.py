@@ -35,7 +35,7 @@ ORDERS = (1, 2, 3)
 EXHAUSTIVE = 7          # languages up to which every way to halve them is a bit
 CHUNK = 200_000         # characters that are scored at a time
 MOST_LANGUAGES = 2_000  # a table with more labels than this is refused
-AMBIGUOUS = 0.1         # distance between the best two scores below which an answer is flagged
+AMBIGUOUS = 0.02         # distance between the best two scores below which an answer is flagged
 FIELDS = "lang_pred string, score double, ambiguous boolean"
 UNKNOWN = "und"
 

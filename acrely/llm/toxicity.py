@@ -196,7 +196,7 @@ def fit_labels(votes: Votes, voters: int) -> tuple[LabelModel, np.ndarray]:
     return model, p
 
 
-def fit_linear(votes: Votes, posterior: np.ndarray, size: int, steps: int = 400, shrink: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_linear(votes: Votes, posterior: np.ndarray, size: int, steps: int = 800, shrink: float = 5e-5) -> tuple[np.ndarray, float]:
     """Logistic regression of the posterior labels on the fired features."""
     w, bias, n = np.zeros(size), float(np.log((posterior.mean() + 1e-3) / (1 - posterior.mean() + 1e-3))) if len(posterior) else -2.0, len(posterior)
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0

@@ -14,11 +14,25 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from acrely.llm import decontaminate, kd_shards, mixing  # noqa: E402
+from acrely.llm import decontaminate, jaccard_join, kd_shards, language_id, mixing  # noqa: E402
 from acrely.llm.common import table  # noqa: E402
 from acrely.session import cut, prepare  # noqa: E402
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or about equally near to two languages, go."""
+    prepare(spark)
+    model = language_id.fit(docs, language_id.training_rows())
+    found = language_id.identify(docs, model, into="_identified")
+    return found.filter(~language_id.rejected("_identified")).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest identifier stays."""
+    prepare(spark)
+    return jaccard_join.keep_one(docs).select(docs.columns)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; a null or wordless text is clean."""
     prepare(spark)
@@ -40,6 +54,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("identify language", known_language),
+    ("near duplicates", without_near_duplicates),
     ("decontaminate", without_benchmark),
     ("mix", mixture),
     ("shard", shards),
