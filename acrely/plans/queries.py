@@ -841,38 +841,47 @@ def _folders(spark, name):
     return f"{root}/out", f"{root}/state"
 
 
+def _arriving(spark, d, name, pieces=4):
+    """A table as a stream of several files, a file per micro-batch, rows in no order."""
+    path = fresh_dir(spark, f"{name}-arriving")
+    raw = tables.table(spark, d, name)
+    raw.repartition(pieces, F.xxhash64(*raw.columns)).write.parquet(path)
+    return jobs.follow(spark, path, "*.parquet", files_per_batch=1)
+
+
 @query
 def stream_event_counts(spark, d):
     out, state = _folders(spark, "events")
-    jobs.finish(jobs.event_counts(jobs.follow(spark, d, "events"), out, state))
-    return jobs.current(spark, out, ["window_start", "window_end", "event_type"])
+    jobs.finish(jobs.event_counts(_arriving(spark, d, "events"), out, state))
+    return jobs.counted_events(spark, out)
 
 
 @query
 def stream_event_counts_sliding(spark, d):
     out, state = _folders(spark, "sliding")
-    jobs.finish(jobs.event_counts(jobs.follow(spark, d, "events"), out, state, "2 hours", "30 minutes"))
-    return jobs.current(spark, out, ["window_start", "window_end", "event_type"])
+    jobs.finish(jobs.event_counts(_arriving(spark, d, "events"), out, state, "2 hours", "30 minutes"))
+    jobs.compact(spark, out, jobs.summed(jobs.EVENT_KEYS, ["events"]))
+    return jobs.counted_events(spark, out)
 
 
 @query
 def stream_login_state(spark, d):
     out, state = _folders(spark, "logins")
-    jobs.finish(jobs.login_state(jobs.follow(spark, d, "events"), out, state))
+    jobs.finish(jobs.login_state(_arriving(spark, d, "events"), out, state))
     return jobs.current(spark, out, ["user_id"])
 
 
 @query
 def stream_sessions(spark, d):
     out, state = _folders(spark, "sessions")
-    jobs.finish(jobs.sessions(jobs.follow(spark, d, "events"), out, state))
-    return spark.read.parquet(out).drop("batch_id")
+    jobs.finish(jobs.sessions(_arriving(spark, d, "events"), out, state))
+    return jobs.session_table(spark, out)
 
 
 @query
 def stream_booking(spark, d):
     out, state = _folders(spark, "bookings")
-    jobs.finish(jobs.bookings(tables.status_edits(jobs.follow(spark, d, "lineitem")), out, state))
+    jobs.finish(jobs.bookings(tables.status_edits(_arriving(spark, d, "lineitem")), out, state))
     return jobs.booked_inventory(spark, tables.inventory(spark, d), out).select("property_id", "booked_units", "available_units")
 
 
@@ -880,14 +889,14 @@ def stream_booking(spark, d):
 def stream_inventory_upsert(spark, d):
     out, state = _folders(spark, "edits")
     log, _ = _folders(spark, "audit")
-    jobs.finish(jobs.inventory_edits(tables.inventory_edits(jobs.follow(spark, d, "lineitem")), out, log, state))
+    jobs.finish(jobs.inventory_edits(tables.inventory_edits(_arriving(spark, d, "lineitem")), out, log, state))
     return _saved(jobs.edited_inventory(spark, tables.inventory(spark, d), out))
 
 
 @query
 def stream_event_log(spark, d):
     out, state = _folders(spark, "log")
-    raw = tables.typed_events(jobs.follow(spark, d, "events"))
+    raw = tables.typed_events(_arriving(spark, d, "events"))
     data = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"))
     jobs.finish(jobs.append_log(activity.append_events(raw, "user_login", data, F.col("ts")), out, state))
     return spark.read.parquet(out).select("type", F.col("data")["user_id"].alias("user_id"), "timestamp")
@@ -897,7 +906,7 @@ def stream_event_log(spark, d):
 def stream_scoring(spark, d):
     out, state = _folders(spark, "scored")
     detector = _detector(tables.listings(spark, d))
-    arriving = tables.listings(spark, d, jobs.follow(spark, d, "lineitem"))
+    arriving = tables.listings(spark, d, _arriving(spark, d, "lineitem"))
     jobs.finish(jobs.score_listings(arriving, detector, out, state))
     return spark.read.parquet(out).select(
         "property_id", "value_score", "z_score_price", "anomaly_flag", "anomaly_reason", "monthly_emi", "investment_grade")

@@ -334,6 +334,9 @@ TUMBLING = windows("1 HOUR", "1 HOUR", 1)
 SLIDING = windows("2 HOUR", "30 MINUTE", 4)
 LOGINS = "SELECT user_id, count(*) AS login_count, max(ts) AS last_login FROM events WHERE event_type = 'view' GROUP BY 1"
 
+SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 24 HOUR
+  THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+  SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS events FROM n GROUP BY user_id, s"""
 ORACLE: dict[str, str] = {
     "listings_scan": f"WITH {LISTINGS} SELECT * EXCLUDE (amenities_count) FROM listings",
     "csv_roundtrip": f"WITH {LISTINGS} SELECT * EXCLUDE (amenities_count, listed_at) FROM listings",
@@ -494,9 +497,8 @@ ORACLE: dict[str, str] = {
     "session_valid": f"""WITH l AS (SELECT user_id, max(ts) AS last_login FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '{LOG_AS_OF}' GROUP BY 1)
         SELECT user_id, last_login, {r(f"(epoch_us(TIMESTAMP '{LOG_AS_OF}') - epoch_us(last_login))::DOUBLE / 3.6e9::DOUBLE", 6)} AS age_hours,
         CAST(last_login > TIMESTAMP '{LOG_AS_OF}' - INTERVAL 24 HOUR AS INTEGER) AS is_valid FROM l""",
-    "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 24 HOUR
-        THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-        SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS events FROM n GROUP BY user_id, s""",
+    "session_windows": SESSIONS,
+    "stream_sessions": SESSIONS,
     "event_counts_tumbling": TUMBLING,
     "event_counts_sliding": SLIDING,
     "event_log_append": "SELECT 'user_login' AS type, user_id::VARCHAR AS user_id, ts AS timestamp FROM events",

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from acrely.operators import activity, inventory
@@ -8,8 +9,17 @@ from acrely.streaming import jobs
 
 
 def pieces(df, path, order, n=3):
-    """The table as files that arrive one after the other, in event order."""
-    df.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
+    """The table as files that arrive one after the other, in event order: one write per file."""
+    parts = df.withColumn("_part", F.ntile(n).over(Window.orderBy(order))).persist()
+    for i in range(1, n + 1):
+        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    parts.unpersist()
+    return path
+
+
+def shuffled(df, path, n=4):
+    """The table as files of rows in no order."""
+    df.repartition(n, F.xxhash64(*df.columns)).write.parquet(path)
     return path
 
 
@@ -25,28 +35,58 @@ def events(spark, data, tmp_path_factory):
     return pieces(tables.table(spark, data, "events"), str(tmp_path_factory.mktemp("e") / "events"), "ts")
 
 
-def test_event_counts_over_several_batches(spark, data, events, tmp_path):
-    out = str(tmp_path / "out")
-    raw = jobs.follow(spark, events, "*.parquet", files_per_batch=1)
-    query = jobs.event_counts(raw, out, str(tmp_path / "state"))
-    jobs.finish(query)
-    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 3
-    same(jobs.current(spark, out, ["window_start", "window_end", "event_type"]), activity.event_counts(tables.events(spark, data)))
+@pytest.fixture(scope="module")
+def unordered(spark, data, tmp_path_factory):
+    return shuffled(tables.table(spark, data, "events"), str(tmp_path_factory.mktemp("u") / "events"))
+
+
+@pytest.mark.parametrize("order", ["events", "unordered"])
+@pytest.mark.parametrize("slide", [None, "30 minutes"])
+def test_event_counts_over_several_batches(spark, data, order, slide, request, tmp_path):
+    out, length = str(tmp_path / "out"), "2 hours" if slide else "1 hour"
+    raw = jobs.follow(spark, request.getfixturevalue(order), "*.parquet", files_per_batch=1)
+    jobs.finish(jobs.event_counts(raw, out, str(tmp_path / "state"), length, slide))
+    assert jobs.stored(spark, out).select("batch_id").distinct().count() >= 3
+    same(jobs.counted_events(spark, out), activity.event_counts(tables.events(spark, data), length, slide))
 
 
-def test_login_state_over_several_batches(spark, data, events, tmp_path):
+@pytest.mark.parametrize("order", ["events", "unordered"])
+def test_login_state_over_several_batches(spark, data, order, request, tmp_path):
     out = str(tmp_path / "out")
-    jobs.finish(jobs.login_state(jobs.follow(spark, events, "*.parquet", 1), out, str(tmp_path / "state")))
+    raw = jobs.follow(spark, request.getfixturevalue(order), "*.parquet", 1)
+    jobs.finish(jobs.login_state(raw, out, str(tmp_path / "state")))
     same(jobs.current(spark, out, ["user_id"]), activity.login_state(tables.events(spark, data)))
 
 
-def test_closed_sessions_agree(spark, data, events, tmp_path):
+@pytest.mark.parametrize("order", ["events", "unordered"])
+def test_sessions_over_several_batches(spark, data, order, request, tmp_path):
     out = str(tmp_path / "out")
-    jobs.finish(jobs.sessions(jobs.follow(spark, events, "*.parquet", 1), out, str(tmp_path / "state")))
-    closed = spark.read.parquet(out).drop("batch_id")
-    everything = activity.sessions(tables.events(spark, data))
-    assert closed.count() > 0
-    assert closed.select(sorted(closed.columns)).exceptAll(everything.select(sorted(everything.columns))).isEmpty()
+    jobs.finish(jobs.sessions(jobs.follow(spark, request.getfixturevalue(order), "*.parquet", 1), out, str(tmp_path / "state")))
+    same(jobs.session_table(spark, out), activity.sessions(tables.events(spark, data)))
+
+
+def test_a_late_event_joins_two_sessions(spark, tmp_path):
+    arrive = lambda *at: spark.createDataFrame(
+        [(i, 1, "view", 1.0, "{}", f"2024-01-{x}") for i, x in enumerate(at)], "event_id long, user_id long, event_type string, value double, props string, ts string")
+    out, state, inbox = (str(tmp_path / x) for x in ("out", "state", "in"))
+    counts = []
+    for days in (("01 00:00:00", "02 12:00:00"), ("01 18:00:00",)):
+        arrive(*days).coalesce(1).write.mode("append").parquet(inbox)
+        jobs.finish(jobs.sessions(jobs.follow(spark, inbox, "*.parquet", 1), out, state))
+        counts.append(sorted(r.events for r in jobs.session_table(spark, out).collect()))
+    assert counts == [[1, 1], [3]]
+
+
+def test_compaction_keeps_every_row(spark, data, tmp_path):
+    out, state, inbox = (str(tmp_path / x) for x in ("out", "state", "in"))
+    merge, raw = jobs.summed(jobs.EVENT_KEYS, ["events"]), tables.table(spark, data, "events")
+    shuffled(raw, inbox)
+    for more in (raw.limit(0), raw.filter("event_id % 3 = 0"), raw.filter("event_id % 3 = 1")):
+        more.coalesce(1).write.mode("append").parquet(inbox)
+        jobs.finish(jobs.event_counts(jobs.follow(spark, inbox, "*.parquet", 2), out, state))
+        assert jobs.compact(spark, out, merge) is not None and jobs.compact(spark, out, merge) is None
+    everything = raw.unionByName(raw.filter("event_id % 3 < 2"))
+    same(jobs.counted_events(spark, out), activity.event_counts(tables.typed_events(everything)))
 
 
 def test_restart_does_not_count_twice(spark, data, events, tmp_path):
@@ -75,7 +115,7 @@ def test_bookings_count_an_enquiry_once(spark, tmp_path):
     rows = [("P1", 1, "booked", "2024-01-01"), ("P1", 1, "booked", "2024-01-02"), ("P1", 2, "lost", "2024-01-02"),
             ("P1", 3, "booked", "2024-01-03"), ("P1", 1, "booked", "2024-01-04")]
     df = spark.createDataFrame(rows, "property_id string, enquiry_id long, status string, at string").withColumn("edited_at", F.col("at").cast("timestamp"))
-    folder = pieces(df, str(tmp_path / "edits"), "edited_at", 2)
+    folder = pieces(df.drop("at"), str(tmp_path / "edits"), F.desc("edited_at"), 2)
     base = spark.createDataFrame([("P1", 5, 0), ("P2", 3, 0)], "property_id string, available_units int, booked_units int")
     out = str(tmp_path / "out")
     jobs.finish(jobs.bookings(jobs.follow(spark, folder, "*.parquet", 1), out, str(tmp_path / "state")))
