@@ -1,10 +1,11 @@
 """Exact quantiles and ranks that never gather a column in one task.
 
-The rows per group are counted first. Small groups use the built-in percentile. Otherwise equal
-values are counted, which collapses hot values on the map side. Medium groups: the distinct values
-fall into equal cells, and only the cells that hold a wanted rank are ordered. Large groups: one
-pass with a fixed-size sketch gives a bracket around every wanted rank, a second pass counts the
-values inside the brackets, and cell counts shrink a bracket further until one task can order it. The input is read twice or three times whatever its size, and the answer is exact.
+The rows per group are counted first, then equal values, which collapses hot values on the map side.
+Groups that a task can order: the distinct values fall into equal cells, and only the cells that
+hold a wanted rank are ordered. Larger groups: one pass with a fixed-size sketch gives a bracket around every
+wanted rank, a second pass counts the values inside the brackets, and cell counts shrink a bracket further until
+one task can order it. Both find the values on the two sides of a position and interpolate between
+them in the same way, so an answer does not depend on the way it was found.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from acrely.session import cut
 
-BUFFERED_VALUES = 100_000    # values of a group that the built-in percentile may hold
 SORTABLE_VALUES = 2_000_000  # distinct values one task is trusted with
 GRID = 2_000                 # bracket candidates per sketch
 SKETCH_ACCURACY = 20_000     # the sketch's rank error is total/SKETCH_ACCURACY, below one grid step
@@ -94,20 +94,6 @@ def _pick_from_cells(
         for name, rank in targets.items()])
 
 
-def _buffered(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """The built-in percentile, whose buffer holds a group's values: for groups known to be small."""
-    wanted = [float(p) for p in probabilities]
-    found = df.groupBy(*by).agg(*[
-        part for i, c in enumerate(columns) for part in (
-            F.percentile(F.col(c).cast("double"), wanted).alias(f"_q{i}"), F.count(c).alias(f"_n{i}"))])
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("total"), *[
-            F.col(f"_q{i}")[k].alias(f"q{k}") for k in range(len(wanted))])
-        for i, c in enumerate(columns)
-    ]
-    return found.select(*by, F.inline(F.array(*rows))).filter(F.col("total") > 0)
-
-
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (),
     bound: int = SORTABLE_VALUES,
@@ -120,9 +106,7 @@ def exact_quantiles(
     sizes = cut(values.groupBy(*keys).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("total")))
     groups, largest = sizes.agg(F.count("*"), F.max("total")).first()
-    if (largest or 0) <= min(bound, BUFFERED_VALUES):
-        return _buffered(df, columns, probabilities, by)
-    if largest <= bound:
+    if (largest or 0) <= bound:
         few = groups <= FEW_GROUPS
         picked = _pick_from_cells(_counted_cells(values, sizes, keys, few), sizes, keys, positions, few)
         return picked.select(*keys, "total", *[

@@ -144,6 +144,13 @@ def test_network_learns_and_is_stored(spark, tmp_path):
     assert again.select("prediction").collect() == fitted.predict(test).select("prediction").collect()
 
 
+def test_weights_do_not_depend_on_partitions(spark):
+    _, _, df = matrix(spark, n=200)
+    settings = net.Settings(hidden=(4,), epochs=2, shard_rows=60)
+    fits = [net.PriceNetwork(settings).fit(x, df) for x in (df, df.repartition(7))]
+    np.testing.assert_allclose(fits[0].weights, fits[1].weights, rtol=1e-6, atol=1e-9)
+
+
 def test_early_stop(spark):
     _, _, df = matrix(spark, n=60)
     noise = df.withColumn("label", F.rand(1))
