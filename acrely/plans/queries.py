@@ -18,7 +18,7 @@ from acrely.operators import (
 )
 from acrely.operators.network import PriceNetwork, Settings
 from acrely.plans.market import Market, train_and_report
-from acrely.plans.requests import newest_per_city_and_type
+from acrely.plans.requests import customer_requests, newest_per_city_and_type
 from acrely.session import fresh_dir, prepare
 from acrely.sources import files, pages, tables
 from acrely.streaming import jobs
@@ -494,6 +494,15 @@ def recommend_unfiltered(spark, d):
     return _recommended(spark, d, tolerance_pct=0.0, same_city=False, top_n=10)
 
 
+@query
+def recommend_many(spark, d):
+    """A request of every customer."""
+    rows = tables.listings(spark, d)
+    fitted = recommend.PropertyRecommender(top_n=5).fit(rows)
+    found = fitted.recommend(rows, customer_requests(tables.table(spark, d, "customer")), tolerance_pct=REQUEST_TOLERANCE)
+    return found.select("request_id", "rank", "property_id", "similarity_score")
+
+
 @query
 def embedding_topk(spark, d):
     vectors = tables.table(spark, d, "embeddings")

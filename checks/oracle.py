@@ -301,6 +301,22 @@ def recommend(condition: str, n: int) -> str:
   WINDOW w AS (PARTITION BY request_id ORDER BY similarity_score DESC, property_id) QUALIFY row_number() OVER w <= {n}"""
 
 
+def recommend_many() -> str:
+    asked = ["c_custkey % 5 + 1", "c_custkey % 3 + 1", "400 + c_custkey % 40 * 50", "4::DOUBLE + (c_custkey % 60)::DOUBLE / 10::DOUBLE",
+             "c_custkey % 9", "c_custkey % 20", "c_custkey % 30", "cc", "tc"]
+    head, tail = recommend("q.city = c.city AND (q.price IS NULL OR c.price BETWEEN q.price * (1 - 0.3::DOUBLE) AND q.price * (1 + 0.3::DOUBLE))", 5).split(", pairs AS", 1)
+    head = head[:head.rindex("asked AS (")]
+    return f"""{head}
+  wished AS (SELECT 'C' || c_custkey AS request_id, {CITY_LIST}[CAST(c_custkey % 10 + 1 AS INT)] AS city,
+    {TYPE_LIST}[CAST(c_custkey % {len(S.PROPERTY_TYPES)} + 1 AS INT)] AS property_type,
+    CASE WHEN c_custkey % 10 <> 0 THEN 1000000::DOUBLE + (c_custkey % 97)::DOUBLE * 100000::DOUBLE END AS price, c_custkey FROM customer),
+  asked AS (SELECT request_id, w.city, w.price, {', '.join(f'(({x})::DOUBLE - lo{i}) / w{i} AS x{i}' for i, x in enumerate(asked))}
+    FROM wished w JOIN cities USING (city) JOIN kinds USING (property_type), span), pairs AS{tail}""".replace(
+        "CAST(q.request_id AS BIGINT) AS request_id", "q.request_id").replace(
+        "SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS rank, property_id, city, locality, price, similarity_score",
+        "SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS rank, property_id, similarity_score")
+
+
 BAND = "c.price BETWEEN q.price * (1 - 0.3::DOUBLE) AND q.price * (1 + 0.3::DOUBLE)"
 CARD_PRICE = "CAST(round_even(price, 0) AS BIGINT)"
 CARDS = f"""{LISTINGS}, cards AS (
@@ -452,6 +468,7 @@ ORACLE: dict[str, str] = {
     "recommend_batch": recommend(f"q.city = c.city AND {BAND}", 5),
     "recommend_no_city": recommend(BAND, 5),
     "recommend_unfiltered": recommend("true", 10),
+    "recommend_many": recommend_many(),
     "embedding_topk": f"""WITH asked AS (SELECT label::BIGINT AS request_id, label, embedding FROM embeddings QUALIFY row_number() OVER (
         PARTITION BY label ORDER BY vec_id) = 1), pairs AS (SELECT request_id, vec_id, e.label,
         {r('list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])', 4)} AS similarity_score FROM asked q JOIN embeddings e USING (label))
