@@ -14,18 +14,22 @@ def _one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", F.floor(x * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0))
 
 
-def _lakh_grouping(n: Column) -> Column:
-    """Indian digit grouping below one lakh is the same as thousands grouping."""
-    return F.format_number(n, 0)
+def _grouped(x: Column) -> Column:
+    """Up to three decimals and Indian digit groups: the last three digits, then pairs."""
+    thousandths = F.floor(F.abs(x) * F.lit(1000.0) + F.lit(0.5)).cast("long")
+    whole = F.regexp_replace((F.floor(thousandths / F.lit(1000))).cast("long").cast("string"), r"(\d)(?=(\d\d)*\d{3}$)", "$1,")
+    part = F.regexp_replace(F.lpad((thousandths % 1000).cast("string"), 3, "0"), "0+$", "")
+    return F.concat(
+        F.when((x < 0) & (thousandths > 0), "-").otherwise(""), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
 
 
 def price_label(price: Column | str) -> Column:
-    """12500000 -> 1.3Cr, 450000 -> 4.5L, 95000 -> 95,000."""
-    p = col(price)
+    """12500000 -> 1.3Cr, 450000 -> 4.5L, 95000 -> 95,000, -20000000 -> -2,00,00,000."""
+    p = col(price).cast("double")
     return (
         F.when(p >= 1e7, F.concat(_one_decimal(p / F.lit(1e7)), F.lit("Cr")))
         .when(p >= 1e5, F.concat(_one_decimal(p / F.lit(1e5)), F.lit("L")))
-        .otherwise(_lakh_grouping(p))
+        .otherwise(_grouped(p))
     )
 
 

@@ -24,7 +24,9 @@ FUNCTIONS = {
         "STRING",
         "CASE WHEN p >= 10000000D THEN concat(format_string('%.1f', floor(p / 10000000D * 10D + 0.5D) / 10D), 'Cr')"
         " WHEN p >= 100000D THEN concat(format_string('%.1f', floor(p / 100000D * 10D + 0.5D) / 10D), 'L')"
-        " ELSE format_number(p, 0) END"),
+        " ELSE concat(if(p < 0 AND floor(abs(p) * 1000D + 0.5D) > 0, '-', ''),"
+        " regexp_replace(CAST(CAST(floor(floor(abs(p) * 1000D + 0.5D) / 1000) AS BIGINT) AS STRING), r'(\\d)(?=(\\d\\d)*\\d{3}$)', '$1,'),"
+        " regexp_replace(concat('.', lpad(CAST(CAST(floor(abs(p) * 1000D + 0.5D) AS BIGINT) % 1000 AS STRING), 3, '0')), '[.]?0+$', '')) END"),
 }
 
 

@@ -106,7 +106,7 @@ class ListingPreprocessor:
     def fit_transform(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Train and test tables."""
         self.fit(df)
-        ready = self.transform(holdout(df, seed=self.seed, limit=self.split_limit))
+        ready = self.transform(self.split(df))
         return ready.filter(~F.col("is_test")), ready.filter(F.col("is_test"))
 
     # ---- stored as parameter tables -------------------------------------
@@ -116,11 +116,20 @@ class ListingPreprocessor:
         spark.createDataFrame(rows, "position int, feature string, fill double, center double, spread double").coalesce(
             1).write.mode("overwrite").parquet(f"{path}/features")
         self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        spark.createDataFrame(
+            [(self.seed, self.test_fraction, self.split_limit)], "seed int, test_fraction double, split_limit long").coalesce(
+            1).write.mode("overwrite").parquet(f"{path}/split")
+
+    def split(self, df: DataFrame) -> DataFrame:
+        """`is_test` as fitted."""
+        return holdout(df, fraction=self.test_fraction, seed=self.seed, limit=self.split_limit)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ListingPreprocessor":
         rows = spark.read.parquet(f"{path}/features").orderBy("position").collect()  # one row per feature
+        split = spark.read.parquet(f"{path}/split").first()
         return cls(
+            split["seed"], split["test_fraction"], split_limit=split["split_limit"],
             fill={r["feature"]: r["fill"] for r in rows if r["fill"] is not None},
             codes=spark.read.parquet(f"{path}/codes"), feature_columns=[r["feature"] for r in rows],
             scale={r["feature"]: (r["center"], r["spread"]) for r in rows})

@@ -99,6 +99,62 @@ def json_roundtrip(spark, d):
         F.coalesce("p.status", F.lit("available")).alias("status"))
 
 
+@query
+def catalogue_file_scan(spark, d):
+    path = fresh_dir(spark, "catalogue")
+    files.write_catalogue(tables.catalogue(spark, d), path)
+    return files.read_catalogue(spark, path).select(
+        "id", "title", "price", F.array_join("amenities", "|").alias("amenities"), F.col("nearby.metro").alias("metro"),
+        F.coalesce("status", F.lit("available")).alias("status"))
+
+
+@query
+def inventory_file_scan(spark, d):
+    path = fresh_dir(spark, "inventory")
+    files.write_inventory(tables.inventory(spark, d), path)
+    return files.read_inventory(spark, path, lines=True).select(
+        F.col("key").alias("property_id"), "total_units", "available_units", "construction_status",
+        F.col("price_range.max").alias("price_max"), F.size("unit_types").alias("unit_types"))
+
+
+@query
+def metrics_file(spark, d):
+    path = fresh_dir(spark, "metrics")
+    files.write_metrics_json(models.long_metrics(_rival_metrics(spark, d)), path)
+    return spark.read.schema("model string, metric string, value double").json(path)
+
+
+@query
+def investment_sink(spark, d):
+    path = fresh_dir(spark, "investment")
+    files.write_table(invest.analyze(_priced(spark, d)), path)
+    return spark.read.parquet(path).groupBy("investment_grade").agg(
+        F.count("*").alias("listings"), rnd(F.avg("monthly_emi"), 2).alias("mean_emi"))
+
+
+@query
+def investment_preview(spark, d):
+    """The ten listings that break even first."""
+    graded = invest.analyze(_priced(spark, d))
+    return graded.orderBy("break_even_years", "property_id").limit(10).select("property_id", "break_even_years", "investment_grade")
+
+
+@query
+def price_per_area(spark, d):
+    bare = tables.listings(spark, d).drop("price_per_sqft")
+    return anomaly.with_ppsf(bare).select("property_id", rnd("price_per_sqft", 6).alias("price_per_sqft"))
+
+
+@query
+def added_columns(spark, d):
+    """The columns that feature engineering adds, and how many values each has."""
+    before = tables.listings(spark, d)
+    after = features.enrich(before)
+    added = features.new_columns(before, after)
+    counts = after.agg(*[F.count(c).alias(c) for c in added])
+    return counts.unpivot([], added, "column", "values")
+
+
 @query
 def unit_types_explode(spark, d):
     return inventory.unit_types(tables.inventory(spark, d))
@@ -417,10 +473,15 @@ def anomaly_batch_mode(spark, d):
 
 @query
 def isolation_forest(spark, d):
+    """What the forest says of all listings: the flagged share is the contamination, and listings with an inflated
+    price score lower than the others."""
     rows = tables.listings(spark, d)
     detector = _detector(rows, use_forest=True)
-    return detector.detect(rows).select(
-        "property_id", "anomaly_score", "is_anomaly_iso", "anomaly_flag", "anomaly_reason")
+    dear = F.split("property_id", "-")[2].cast("long") % 40 == 0
+    return detector.detect(rows).agg(
+        F.count("*").alias("rows"), (F.abs(F.avg("is_anomaly_iso") - F.lit(detector.contamination)) <= 0.01).alias("near_contamination"),
+        (F.avg(F.when(dear, F.col("anomaly_score"))) < F.avg(F.when(~dear, F.col("anomaly_score")))).alias("dear_score_lower"),
+        F.max(F.when((F.col("is_anomaly_iso") == 1) & ~F.col("anomaly_reason").startswith("IF-score outlier"), 1).otherwise(0)).alias("unexplained"))
 
 
 # ---- preparation --------------------------------------------------------
@@ -611,7 +672,7 @@ def offers_edit(spark, d):
 def price_label(spark, d):
     return tables.table(spark, d, "orders").select(
         "o_orderkey", labels.price_label(F.col("o_totalprice") * F.lit(40.0)).alias("label"),
-        labels.price_label(F.floor("o_totalprice").cast("double")).alias("small_label"))
+        labels.price_label(F.col("o_totalprice") % 100_000 - 30_000).alias("small_label"))
 
 
 @query

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from acrely import schema as S
-from acrely.functions.money import DEFAULT_CONFIG, GRADE_TEXT
-from acrely.plans.queries import BOOK_AS_OF, HIGH_YIELD, LOG_AS_OF
+from checks import fixed as S
+from checks.fixed import BOOK_AS_OF, DEFAULT_CONFIG, GRADE_TEXT, HIGH_YIELD, LOG_AS_OF
 
 
 def text(values) -> str:
@@ -150,7 +149,19 @@ def inr(p: str) -> str:
         return f"printf('%.1f', floor({x} * 10 + 0.5::DOUBLE) / 10)"
     return (f"CASE WHEN {p} >= 10000000 THEN {one(f'({p})::DOUBLE / 10000000')} || 'Cr' "
             f"WHEN {p} >= 100000 THEN {one(f'({p})::DOUBLE / 100000')} || 'L' "
-            f"ELSE format('{{:,}}', CAST(round_even(({p})::DOUBLE, 0) AS BIGINT)) END")
+            f"ELSE {indian(p)} END")
+
+
+def indian(p: str) -> str:
+    """Up to three decimals; below a thousand lakhs: the last three digits, then pairs."""
+    t = f"CAST(floor(abs(({p})::DOUBLE) * 1000 + 0.5::DOUBLE) AS BIGINT)"
+    n = f"({t} // 1000)"
+    whole = (f"CASE WHEN {n} >= 10000000 THEN ({n} // 10000000) || ',' || lpad(CAST({n} // 100000 % 100 AS VARCHAR), 2, '0') || ',' || "
+             f"lpad(CAST({n} // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') "
+             f"WHEN {n} >= 100000 THEN ({n} // 100000) || ',' || lpad(CAST({n} // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') "
+             f"WHEN {n} >= 1000 THEN ({n} // 1000) || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END")
+    part = f"CASE WHEN {t} % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST({t} % 1000 AS VARCHAR), 3, '0'), '0') END"
+    return f"(CASE WHEN ({p}) < 0 AND {t} > 0 THEN '-' ELSE '' END || {whole} || {part})"
 
 
 VIEW = f"""WITH {CATALOGUE}, {INVENTORY} SELECT id, substr(title, 1, 45) AS title, city, locality, coalesce(builder, '—') AS builder,
@@ -359,7 +370,9 @@ ORACLE: dict[str, str] = {
     "partitioned_sink": f"WITH {ENRICHED} SELECT city, property_age_group, count(*) AS listings, {r('sum(value_score)', 2)} AS value_score_sum FROM enriched GROUP BY ALL",
     "anomaly_sink": f"WITH {FLAGGED} SELECT property_id, anomaly_reason, price FROM flagged WHERE anomaly_flag = 1",
     "inventory_by_id_scan": f"WITH {INVENTORY} SELECT property_id, total_units, available_units, construction_status, price_max, len(unit_types)::INTEGER AS unit_types FROM inventory",
+    "inventory_file_scan": f"WITH {INVENTORY} SELECT property_id, total_units, available_units, construction_status, price_max, len(unit_types)::INTEGER AS unit_types FROM inventory",
     "json_roundtrip": f"WITH {CATALOGUE} SELECT id, title, price, amenities, metro, 'available' AS status FROM catalogue",
+    "catalogue_file_scan": f"WITH {CATALOGUE} SELECT id, title, price, amenities, metro, 'available' AS status FROM catalogue",
     "unit_types_explode": f"WITH {UNITS} SELECT *, '' AS facing, 'Included' AS parking FROM units",
     "unit_types_keep_empty": f"WITH {UNITS} SELECT i.property_id, position, type, 'Included' AS parking FROM inventory i LEFT JOIN units u ON i.property_id = u.property_id",
     "page_extract": """SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
@@ -400,6 +413,16 @@ ORACLE: dict[str, str] = {
     "investment_bulk": f"""WITH {LISTINGS}, {invest_cte({}, 'listings', CITY_ADJUST)} SELECT property_id, gross_annual_rent, net_annual_rent,
         gross_rental_yield, net_rental_yield, roi_5yr_pct, roi_10yr_pct, projected_value_5yr, projected_value_10yr, loan_amount,
         monthly_emi, break_even_years, investment_grade, {RECOMMENDATION} AS recommendation FROM graded""",
+    "investment_sink": f"""WITH {LISTINGS}, {invest_cte({}, 'listings', CITY_ADJUST)} SELECT investment_grade, count(*) AS listings,
+        {r('avg(monthly_emi)', 2)} AS mean_emi FROM graded GROUP BY 1""",
+    "investment_preview": f"""WITH {LISTINGS}, {invest_cte({}, 'listings', CITY_ADJUST)} SELECT property_id, break_even_years, investment_grade
+        FROM graded ORDER BY break_even_years, property_id LIMIT 10""",
+    "price_per_area": f"WITH {LISTINGS} SELECT property_id, {r('price / area_sqft', 6)} AS price_per_sqft FROM listings",
+    "added_columns": f"WITH {ENRICHED} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS \"values\" FROM enriched" for c in (
+            "amenities_count", "amenities_score", "bed_bath_ratio", "floor_ratio", "area_per_bedroom", "city_price_index",
+            "is_premium_locality", "property_age_group", "value_score")),
+    "isolation_forest": "SELECT count(*) AS rows, true AS near_contamination, true AS dear_score_lower, 0 AS unexplained FROM lineitem",
     "investment_grade_by_city": f"WITH {LISTINGS}, {invest_cte({}, 'listings', CITY_ADJUST)} {GRADES_BY_CITY}",
     "investment_custom_config": f"WITH {LISTINGS}, {invest_cte(HIGH_YIELD, 'listings', CITY_ADJUST)} {GRADES_BY_CITY}",
     "investment_city_yields": f"""WITH {LISTINGS}, yields AS (
@@ -502,7 +525,7 @@ ORACLE: dict[str, str] = {
     "enquiry_counts": f"WITH {ENQUIRIES} SELECT prop_id, strftime(date, '%Y-%m') AS month, count(*) AS enquiries FROM enquiries GROUP BY ALL",
     "offers_edit": """SELECT 'P' || p_partkey AS prop_id, 0 AS position, p_name AS title, p_type AS "desc", '2024-06-30' AS valid
         FROM part WHERE p_type <> 'PROMO' UNION ALL SELECT 'P' || p_partkey, 1, p_brand, '', 'Ongoing' FROM part WHERE p_size > 10""",
-    "price_label": f"""SELECT o_orderkey, {inr('o_totalprice * 40::DOUBLE')} AS label, {inr('floor(o_totalprice)')} AS small_label FROM orders""",
+    "price_label": f"""SELECT o_orderkey, {inr('o_totalprice * 40::DOUBLE')} AS label, {inr('(o_totalprice % 100000 - 30000)')} AS small_label FROM orders""",
     "date_label": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%d %b %Y') ELSE '—' END AS label,
         CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) + 2 ELSE DATE '1970-01-01' END AS followup FROM orders""",
     "status_lookup": f"WITH {ENQUIRIES} SELECT status, {BADGE} AS badge, count(*) AS enquiries FROM enquiries GROUP BY ALL",
@@ -529,6 +552,7 @@ ORACLE: dict[str, str] = {
         SELECT property_id, 'Fair price' AS model_used, {r('p', 2)} AS predicted_price, {r('p * 0.9::DOUBLE', 2)} AS price_range_low,
         {r('p * 1.1::DOUBLE', 2)} AS price_range_high, {r('p / area_sqft', 2)} AS predicted_ppsf FROM c""",
     "model_metrics_long": f"WITH {RIVALS} SELECT model, metric, value FROM (UNPIVOT scored ON r2, rmse, mae, mape INTO NAME metric VALUE value)",
+    "metrics_file": f"WITH {RIVALS} SELECT model, metric, value FROM (UNPIVOT scored ON r2, rmse, mae, mape INTO NAME metric VALUE value)",
     "best_model_argmax": f"WITH {RIVALS} SELECT * FROM scored ORDER BY r2 DESC, position LIMIT 1",
     "prepared_features": f"""WITH {LISTINGS}, k AS (SELECT property_id, price, {SPLIT_KEY} AS h FROM listings),
         t AS (SELECT h FROM k QUALIFY row_number() OVER (ORDER BY h) = (SELECT ceil(0.2::DOUBLE * count(*)) FROM k))
@@ -544,3 +568,9 @@ ORACLE: dict[str, str] = {
         {flags('enriched', ANY_OUTSIDE)}, {invest_cte({}, 'flagged', CITY_ADJUST)}
         SELECT property_id, value_score, z_score_price, anomaly_flag, anomaly_reason, monthly_emi, investment_grade FROM graded""",
 }
+
+ORACLE["profile_suite"] = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, count(*) AS rows FROM ({ORACLE[name]})" for part, name in {
+        "summary": "describe_all", "price_histogram": "price_histogram", "log_price_histogram": "log_price_histogram",
+        "price_by_city": "boxplot_by_city", "price_by_type": "mean_price_by_type", "correlations": "price_corr",
+        "area_price": "area_price_grid", "bedrooms": "bedroom_counts", "location_trend": "location_trend"}.items())

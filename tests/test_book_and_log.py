@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acrely.functions import labels
+from acrely.functions.sql_functions import register
 from acrely.operators import activity, enquiries, inventory
 
 INV = "property_id string, total_units int, available_units int, booked_units int, note string"
@@ -11,9 +12,12 @@ INV = "property_id string, total_units int, available_units int, booked_units in
 
 @pytest.mark.parametrize("price,label", [
     (12_500_000.0, "1.3Cr"), (10_000_000.0, "1.0Cr"), (9_999_999.0, "100.0L"), (450_000.0, "4.5L"), (100_000.0, "1.0L"),
-    (99_999.0, "99,999"), (950.0, "950")])
+    (99_999.0, "99,999"), (950.0, "950"), (99_999.6, "99,999.6"), (95_123.45, "95,123.45"), (-20_000_000.0, "-2,00,00,000"),
+    (0.0, "0"), (-1234.5678, "-1,234.568"), (1000.0, "1,000"), (-150_000.0, "-1,50,000"), (0.25, "0.25")])
 def test_price_label(spark, price, label):
     assert spark.range(1).select(labels.price_label(F.lit(price))).first()[0] == label
+    register(spark)
+    assert spark.range(1).select(F.call_function("price_label", F.lit(price))).first()[0] == label
 
 
 def test_date_and_status_labels(spark):
