@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from acrely.functions.labels import model_slug
 from acrely.functions.money import price_band
 from acrely.functions.numeric import rnd
+from acrely.operators.network import NetworkEstimator, PriceNetwork
 from acrely.operators.profile import histogram
 
 METRICS = ["r2", "rmse", "mae", "mape"]
@@ -51,22 +52,18 @@ def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.05, seed: int = 4
         maxBins=64, seed=seed)
 
 
-def boosted_plain(rounds: int = 200, depth: int = 5, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="all",
-        maxBins=64, seed=seed)
-
-
 def robust() -> LinearRegression:
     return LinearRegression(loss="huber", maxIter=200, labelCol="label_m", predictionCol="prediction_m")
 
 
 Candidate = Callable[[DataFrame], object]
+# The names of the models and, above, the sizes they have by default.
 CANDIDATES: dict[str, Candidate] = {
     "Linear Regression": lambda train: linear(),
     "Ridge Regression": lambda train: ridge(train),
     "Random Forest": lambda train: forest(),
     "Gradient Boosting": lambda train: boosted(),
+    "Neural Network": lambda train: NetworkEstimator(),
 }
 
 
@@ -170,7 +167,10 @@ class ModelTrainer:
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{slug(name)}")
+            if isinstance(model, PriceNetwork):
+                model.save(spark, f"{path}/{slug(name)}")
+            else:
+                model.write().overwrite().save(f"{path}/{slug(name)}")
         kinds = spark.createDataFrame(
             [(name, slug(name), type(model).__name__) for name, model in self.models.items()],
             "model string, folder string, kind string")
@@ -181,7 +181,9 @@ class ModelTrainer:
         kinds = {k.__name__: k for k in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
         inst = cls()
         for row in spark.read.parquet(f"{path}/registry").collect():  # one row per model
-            inst.models[row["model"]] = kinds[row["kind"]].load(f"{path}/{row['folder']}")
+            folder = f"{path}/{row['folder']}"
+            network = row["kind"] == "PriceNetwork"
+            inst.models[row["model"]] = PriceNetwork.load(spark, folder) if network else kinds[row["kind"]].load(folder)
             if row["active"]:
                 inst.best_name = row["model"]
         return inst

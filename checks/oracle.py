@@ -554,9 +554,6 @@ ORACLE: dict[str, str] = {
     "model_metrics_long": f"WITH {RIVALS} SELECT model, metric, value FROM (UNPIVOT scored ON r2, rmse, mae, mape INTO NAME metric VALUE value)",
     "metrics_file": f"WITH {RIVALS} SELECT model, metric, value FROM (UNPIVOT scored ON r2, rmse, mae, mape INTO NAME metric VALUE value)",
     "best_model_argmax": f"WITH {RIVALS} SELECT * FROM scored ORDER BY r2 DESC, position LIMIT 1",
-    "prepared_features": f"""WITH {LISTINGS}, k AS (SELECT property_id, price, {SPLIT_KEY} AS h FROM listings),
-        t AS (SELECT h FROM k QUALIFY row_number() OVER (ORDER BY h) = (SELECT ceil(0.2::DOUBLE * count(*)) FROM k))
-        SELECT property_id, CAST(h <= (SELECT h FROM t) AS INTEGER) AS is_test, 18 AS width, price AS label FROM k""",
     "stream_event_counts": TUMBLING,
     "stream_event_counts_sliding": SLIDING,
     "stream_login_state": LOGINS,
@@ -574,3 +571,43 @@ ORACLE["profile_suite"] = " UNION ALL ".join(
         "summary": "describe_all", "price_histogram": "price_histogram", "log_price_histogram": "log_price_histogram",
         "price_by_city": "boxplot_by_city", "price_by_type": "mean_price_by_type", "correlations": "price_corr",
         "area_price": "area_price_grid", "bedrooms": "bedroom_counts", "location_trend": "location_trend"}.items())
+
+# ---- models: trained on prices that follow the valuation rule ------------------------------------------------
+CODED_FEATURES = ["city", "locality", "property_type"]
+NUMBER_FEATURES = [
+    "bedrooms", "bathrooms", "area_sqft", "age_years", "floor_number", "total_floors", "location_score", "amenities_count",
+    "amenities_score", "bed_bath_ratio", "floor_ratio", "area_per_bedroom", "city_price_index", "is_premium_locality", "value_score"]
+ORACLE["prepared_features"] = f"""WITH {ENRICHED}, {VALUED.replace(LISTINGS + ', ', '').replace('FROM listings', 'FROM enriched')}, base AS (
+  SELECT *, fair_price::DOUBLE AS label, {SPLIT_KEY} AS h FROM valued),
+t AS (SELECT h FROM base QUALIFY row_number() OVER (ORDER BY h) = (SELECT ceil(0.2::DOUBLE * count(*)) FROM base)),
+filled AS (SELECT property_id, label, h <= (SELECT h FROM t) AS is_test,
+  {', '.join(f"(dense_rank() OVER (ORDER BY {c}) - 1)::DOUBLE AS {c}" for c in CODED_FEATURES)},
+  {', '.join(f"coalesce({c}::DOUBLE, (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM enriched)) AS {c}" for c in NUMBER_FEATURES)} FROM base),
+moments AS (SELECT {', '.join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in CODED_FEATURES + NUMBER_FEATURES)}
+  FROM filled WHERE NOT is_test)
+SELECT property_id, CAST(is_test AS INTEGER) AS is_test, label, {', '.join(r(f'({c} - m_{c}) / s_{c}', 4) + f' AS {c}' for c in CODED_FEATURES + NUMBER_FEATURES)}
+FROM filled, moments"""
+NO_GRADIENT = "SELECT CAST(i AS INTEGER) AS position, 0::DOUBLE AS gradient FROM range(19) t(i)"
+HELD = "CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT)"
+MODELS = ["Linear Regression", "Ridge Regression", "Random Forest", "Gradient Boosting", "Neural Network"]
+ORACLE |= {
+    "model_linear": NO_GRADIENT,
+    "model_ridge": NO_GRADIENT,
+    **{query: f"SELECT '{name}' AS model, {HELD} AS scored, true AS above_half, true AS beats_linear FROM lineitem"
+       for query, name in (("model_forest", "Random Forest"), ("model_gbt", "Gradient Boosting"), ("model_mlp", "Neural Network"))},
+    "model_huber": "SELECT true AS explains, true AS mae_below_rmse",
+    "model_comparison": " UNION ALL ".join(
+        f"SELECT '{name}' AS model, CAST({i} AS INTEGER) AS position, true AS explains, true AS ranked" for i, name in enumerate(MODELS)),
+    "model_registry": "SELECT true AS best_is_active, 'loaded' AS status, CAST(5 AS INTEGER) AS models",
+    "model_reevaluation": " UNION ALL ".join(f"SELECT '{name}' AS model, true AS agrees" for name in MODELS),
+    "predict_batch": f"""WITH {LISTINGS}, k AS (SELECT property_id, {SPLIT_KEY} AS h FROM listings),
+        t AS (SELECT h FROM k QUALIFY row_number() OVER (ORDER BY h) = (SELECT ceil(0.2::DOUBLE * count(*)) FROM k))
+        SELECT property_id, true AS best_used, true AS band FROM k WHERE h <= (SELECT h FROM t)""",
+    "feature_importance": " UNION ALL ".join(
+        f"SELECT '{name}' AS model, CAST(18 AS BIGINT) AS features, 1::DOUBLE AS total" for name in MODELS[2:4]),
+    "training_history": "SELECT 'Robust Regression' AS model, 'loss' AS metric, true AS several, true AS falls UNION ALL "
+                        + " UNION ALL ".join(f"SELECT 'Neural Network', '{m}', true, true" for m in ("loss", "val_loss", "mae")),
+    "market_report": f"""WITH {LISTINGS}, {invest_cte({}, 'listings', CITY_ADJUST)} SELECT 'grade' AS section, investment_grade AS name,
+        count(*)::DOUBLE AS value FROM graded GROUP BY 2 UNION ALL SELECT 'model', 'lines', 20 UNION ALL SELECT 'best', 'lines', 1
+        UNION ALL SELECT 'anomaly', 'lines', 7""",
+}
