@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, mixing, quality, toxicity
+from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, license_scan, mixing, quality, toxicity
 from acrely.llm.common import fold, table
 from acrely.session import prepare
 
@@ -168,3 +168,13 @@ def op4_toxicity(spark, folder):
     found = toxicity.score(docs, model, keep=["doc_id"])
     return found.select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "_toxicity.score", (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_license_scan(spark, folder):
+    found = license_scan.scan_licenses(table(spark, folder, "documents"), keep=["doc_id"])
+    best = F.try_element_at("_scan.licenses", F.lit(1))
+    return found.select(
+        "doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["matched"].alias("matched"),
+        best["first"].alias("first_word"), best["last"].alias("last_word"), F.size("_scan.licenses").cast("long").alias("n_licenses"),
+        "_scan.n_words")

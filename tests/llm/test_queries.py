@@ -6,7 +6,8 @@ from acrely.llm.queries import ORACLE, QUERIES
 from checks.compare import agree, oracle_connection
 
 COLUMNS = {
-    "op1": "doc_id n_shingles component_id", "op2": "doc_id held_out score predicted", "op4": "doc_id held_out score predicted",
+    "op1": "doc_id n_shingles component_id", "op2": "doc_id held_out score predicted", "op3": "doc_id license coverage",
+    "op4": "doc_id held_out score predicted",
     "op5": "doc_id keep_id group_size kept text_sha256", "op6": "doc_id size text_crc32 law shard slot grown_shard",
     "op7": "doc_id held_out lang_pred score", "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9": "doc_id size source_size target taken", "op10": "doc_id n_words n_hit n_items items_sha256 contaminated"}
@@ -23,5 +24,5 @@ def test_query(spark, data, name):
         assert len(found) == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
-def test_all_nine_are_there():
+def test_all_are_there():
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted(COLUMNS)
