@@ -10,11 +10,12 @@ The order is by a count sketch over the shingles of all documents, a table of fi
 the shingle's hash. The answer is the same for any order; a good one keeps frequent shingles out
 of the prefixes.
 
-Sets that are equal form one class from the start, so copies cost nothing. Links are searched in two
-rounds. The first verifies, for every class, the neighbour it shares most prefix shingles with and
-joins what is linked into components. The second verifies every pair of classes that pass the
-filters and are not yet in one component. So a group of near copies is linked along its length,
-and no link between components is missed.
+Sets that are equal form one class from the start, so copies cost nothing. Links are searched in
+rounds, and what is linked becomes one component whose members are not compared any more. First every class
+proposes one class it meets. Then every pair that meets in a small crowd is verified. In a large crowd,
+where one shingle is common to many classes, a task proposes a forest over the crowd's components; after a few such
+rounds it names every pair that is left. So a group of near copies is linked by about as many
+pairs as it has members, no crowd is multiplied out into a table, and no link between components is missed.
 
 Shingles are 64-bit hashes of their words, classes are known by their size and a 64-bit hash of their set.
 
@@ -28,21 +29,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrely.llm.common import append
-from acrely.llm.graph import components
+from acrely.llm.graph import merge
 from acrely.session import cut
 
 SHINGLE = 5
 SKETCH_BITS = 20        # each of the two rows of the sketch has 2 ** SKETCH_BITS counters
 MERGE = 32              # sketches that one task adds up
-PIVOTS = 64             # parts a set is cut into for the suffix filter
+PIVOTS = 256            # parts a set is cut into for the suffix filter, a power of two
+BITMAP_BITS = 23        # log2 of the bits that mark the identifiers whose texts are wanted
 OUT_ROWS = 200_000      # prefix shingles per Arrow batch
+CROWD = 16              # classes on a shingle up to which all their pairs are rows of a table
+ROUNDS = 2              # of forests in large crowds, before all remaining pairs are verified
+LENGTHS = 1.1           # sets whose sizes differ by less may have a common first class
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _OTHER = np.uint64(0xE7037ED1A0B428DB)
+_PIVOT_SHIFT = np.uint64(64 - (PIVOTS - 1).bit_length())
+_FULL = 255             # largest size of a part that is told apart
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -64,6 +71,18 @@ def set_hash(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def part_sizes(found: np.ndarray) -> bytes:
+    """Sizes of the set between the pivots, a byte each; all full if any is larger, which bounds nothing."""
+    sizes = np.bincount((found >> _PIVOT_SHIFT).astype(np.int64), minlength=PIVOTS)
+    return (sizes if sizes.max(initial=0) <= _FULL else np.full(PIVOTS, _FULL)).astype(np.uint8).tobytes()
+
+
+def _overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Most that sets with these parts have in common: the sum of the smaller parts (unknown: a huge number)."""
+    most = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    return np.where(most == _FULL * PIVOTS, np.iinfo(np.int64).max // 16, most)
+
+
 def _places(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(64 - bits)
     return (found >> shift).astype(np.int64), ((found * _OTHER) >> shift).astype(np.int64)
@@ -72,9 +91,13 @@ def _places(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 # ---- the two passes over the texts -------------------------------------------
 
 def _profile(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
-    """A row (doc_id, n, fp) per document, and a row with the task's sketch. Written, then read by both uses."""
+    """A row (doc_id, n, fp, parts) per document, and a row with the task's sketch. Written, then read by both uses.
+
+    `parts` are the sizes of the set between common pivots.
+    """
     id_type = docs.schema[doc_id].dataType
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    names = ["doc_id", "n", "fp", "parts", "sketch"]
 
     def run(batches):
         counts, pending, held, schema = np.zeros((2, 1 << bits), np.int32), [], 0, None
@@ -84,11 +107,12 @@ def _profile(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
                 row += np.bincount(place, minlength=1 << bits).astype(np.int32)
 
         for batch in batches:
-            n, fp = [], []
+            n, fp, parts = [], [], []
             for body in batch.column(1).to_pylist():
                 found = shingles(body)
                 n.append(len(found))
                 fp.append(set_hash(found))
+                parts.append(part_sizes(found))
                 pending.append(found)
                 held += len(found)
                 if held > 2_000_000:
@@ -96,16 +120,16 @@ def _profile(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
                     pending, held = [], 0
             schema = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.binary())],
-                names=["doc_id", "n", "fp", "sketch"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(parts, pa.binary()),
+                 pa.nulls(len(n), pa.binary())], names=names)
         if schema is not None:
             if pending:
                 add()
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, schema), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_pack(counts)], pa.binary())],
-                names=["doc_id", "n", "fp", "sketch"])
+                [pa.nulls(1, schema), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([_pack(counts)], pa.binary())], names=names)
 
-    return cut(source.mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, fp long, sketch binary"))
+    return cut(source.mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, fp long, parts binary, sketch binary"))
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -171,9 +195,9 @@ def _prefixes(docs: DataFrame, text: str, sketch: np.ndarray, bits: int) -> Data
 
 
 def _meetings(prefixes: DataFrame) -> DataFrame:
-    """The prefix shingles that two classes or more have, each row with the class before it.
+    """The prefix shingles that two classes or more of fitting sizes have: (h, n, fp, pos), one row per class.
 
-    Rows come sorted by shingle, then by size. They stream through; a task keeps the last row only.
+    A class without a neighbour in size that fits has no class that fits. Rows come sorted by shingle, then by size. They stream through; a task keeps the last row only.
     """
     ordered = prefixes.repartition("h").sortWithinPartitions("h", "n", "fp")
 
@@ -187,7 +211,7 @@ def _meetings(prefixes: DataFrame) -> DataFrame:
             same = (h[1:] == h[:-1])
             fresh = np.concatenate(([True], ~(same & (n[1:] == n[:-1]) & (fp[1:] == fp[:-1]))))
             h, n, fp, pos = (c[fresh] for c in (h, n, fp, pos))
-            follows = np.concatenate(([False], h[1:] == h[:-1]))
+            follows = np.concatenate(([False], (h[1:] == h[:-1]) & (n[:-1].astype(np.int64) * 5 >= n[1:].astype(np.int64) * 4)))
             precedes = np.concatenate((follows[1:], [False]))
             emit = follows | precedes
             if last is not None and told:
@@ -196,12 +220,9 @@ def _meetings(prefixes: DataFrame) -> DataFrame:
             last = [c[-1] for c in (h, n, fp, pos)]
             at = np.flatnonzero(emit)
             if len(at):
-                none = ~follows[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at]) for c in (h, n, fp, pos)] + [pa.array(c[at - 1], mask=none) for c in (n, fp, pos)],
-                    names=["h", "n", "fp", "pos", "n0", "fp0", "pos0"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (h, n, fp, pos)], names=["h", "n", "fp", "pos"])
 
-    return cut(ordered.mapInArrow(run, "h long, n int, fp long, pos int, n0 int, fp0 long, pos0 int"))
+    return cut(ordered.mapInArrow(run, "h long, n int, fp long, pos int"))
 
 
 # ---- candidates and verification ------------------------------------------------
@@ -219,105 +240,239 @@ def _possible(n: Column, pos: Column, n0: Column, pos0: Column) -> Column:
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets overlap by at least 80 in 100 of their union, with that overlap."""
-    left = texts.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
+    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    wanted = texts.join(ids, "id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            a, b, common = batch.column(0), batch.column(1), []
-            keep = []
+            common, keep = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = shingles(x), shingles(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
                 common.append(both)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64())], names=["a", "b", "common"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.int64())], names=["a", "b", "common"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b")
-    return cut(joined.mapInArrow(run, "a long, b long, common long"))
+    joined = pairs.select(F.col("a").alias("id"), "a", "b").join(wanted, "id").select(
+        F.col("b").alias("id"), "a", "b", F.col("body").alias("body_a")).join(wanted, "id")
+    return cut(joined.select("a", "b", "body_a", "body").mapInArrow(run, "a long, b long, common long"))
+
+
+def _named_in(ids: DataFrame, column: str, name: Column) -> Column:
+    """Whether the hash of `name` is among those of the ids: a bitmap of fixed size, looked up row by row, that keeps
+    most other rows out of a join."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << BITMAP_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT) AS w")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))")).collect()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for w, bits in words:
+        bitmap[w] = bits
+    held = ids.sparkSession.createDataFrame([(bitmap.tolist(),)], "bits array<long>")
+    here = F.pmod(F.xxhash64(name), F.lit(1 << BITMAP_BITS))
+    word = F.element_at(held.scalar(), (F.floor(here / 64) + 1).cast("int"))
+    return F.getbit(word, (here % 64).cast("int")) == 1
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, classes: DataFrame) -> DataFrame:
-    """(id, body, parts) of every class: a text that has its set, and the set's sizes between the pivots."""
-    wanted = classes.select("rep").distinct()
-    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    some = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    """(id, body): a text of every class, found by the identifier that stands for the class.
+
+    Classes of rows without an identifier are found by their sets.
+    """
+    some = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("body"))
+    keys = classes.select("rep", F.col("n").alias("_n"), F.col("fp").alias("_fp"), "id")
+    named = some.filter(_named_in(classes.filter(F.col("rep").isNotNull()).select("rep").distinct(), "rep", F.col("rep")))
+    found = _of_their_class(named.join(keys.filter(F.col("rep").isNotNull()), "rep"))
 
     def start():
         def work(bodies):
             sets = [shingles(b) for b in bodies]
-            parts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PIVOTS).tolist() for s in sets]
-            return [
-                pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()),
-                pa.array(parts, pa.list_(pa.int32()))]
+            return [pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64())]
         return work
 
-    known = append(some, "body", start, "n int, fp long, parts array<int>", "_set").select("body", "_set.*")
-    return cut(known.join(classes.select("n", "fp", "id"), ["n", "fp"]).select(
-        "id", F.col("body").cast("binary").alias("body"), "parts").dropDuplicates(["id"]))
+    nameless = append(some.filter(F.col("rep").isNull()), "body", start, "n int, fp long", "_set", ["body"]).select("body", "_set.*")
+    nameless = nameless.join(classes.filter(F.col("rep").isNull()).select("n", "fp", "id"), ["n", "fp"])
+    return cut(found.unionByName(nameless.select("id", F.col("body").cast("binary").alias("body")).dropDuplicates(["id"])))
 
 
-def _first_round(meetings: DataFrame, classes: DataFrame) -> DataFrame:
-    """For every class the one before it that it meets most often: pairs (a, b) of ids."""
-    near = meetings.filter(F.col("n0").isNotNull() & _possible(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0")))
-    often = near.groupBy("n", "fp", "n0", "fp0").agg(F.count("*").alias("c"))
-    best = often.groupBy("n", "fp").agg(F.max(F.struct("c", "n0", "fp0")).alias("s")).select("n", "fp", "s.n0", "s.fp0")
-    a = classes.select("n", "fp", F.col("id").alias("a"))
-    b = classes.select(F.col("n").alias("n0"), F.col("fp").alias("fp0"), F.col("id").alias("b"))
-    return cut(best.join(a, ["n", "fp"]).join(b, ["n0", "fp0"]).select("a", "b"))
+def _of_their_class(rows: DataFrame) -> DataFrame:
+    """(id, body) of the rows whose text has the set of the class they were joined with, once per task."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            n, fp, ids, bodies = (batch.column(i).to_pylist() for i in range(4))
+            keep = []
+            for i in range(len(ids)):
+                found = shingles(bodies[i]) if ids[i] not in seen else ()
+                keep.append(len(found) == n[i] and set_hash(found) == fp[i])
+                if keep[-1]:
+                    seen.add(ids[i])
+            yield batch.select(["id", "body"]).filter(pa.array(keep, pa.bool_()))
 
+    return rows.select("_n", "_fp", "id", F.col("body").cast("binary").alias("body")).mapInArrow(run, "id long, body binary")
 
-def _second_round(meetings: DataFrame, labelled: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that pass all filters and were not tried before.
 
-    Of the classes that meet on a shingle, those outside the largest component there are joined with all.
+def _identified(met: DataFrame, reps: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes with an `id`, and the meetings by id. The id is a hash of size and set, under the first
+    seed for which no two classes share one."""
+    classes = cut(met.select("n", "fp").distinct().join(reps, ["n", "fp"]).join(parts, ["n", "fp"]))
+    seed = 0
+    while not classes.groupBy(F.xxhash64("n", "fp", F.lit(seed))).count().filter("count > 1").isEmpty():
+        seed += 1
+    name = F.xxhash64("n", "fp", F.lit(seed)).alias("id")
+    return classes.select("*", name), met.select("h", name, "n", "pos")
+
+
+def _like_parts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Suffix filter: the overlap of (a, b) is at most the sum of the smaller parts."""
+    a = classes.select(F.col("id").alias("a"), F.col("parts").alias("pa"), F.col("n").alias("na"))
+    b = classes.select(F.col("id").alias("b"), F.col("parts").alias("pb"), F.col("n").alias("nb"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PIVOTS) for i in (2, 3))
+                both = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+                keep = _overlap_bound(x, y) * 9 >= both * 4
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long"))
+
+
+def _proposals(meetings: DataFrame) -> DataFrame:
+    """At most one pair (a, b) for every class a: of the classes in front of it on its prefix shingles (the last one, and
+    the first one of about its size), the one it meets most often. One pass over the rows in order."""
+    in_order = Window.partitionBy("h").orderBy("n", "id")
+    here = F.struct("id", "n", "pos")
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(LENGTHS)))
+    seen = meetings.withColumn("_last", F.lag(here).over(in_order)).withColumn("_size", size).withColumn(
+        "_first", F.first(here).over(
+            Window.partitionBy("h", "_size").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    both = seen.select("id", "n", "pos", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("o"))
+    near = both.filter(
+        F.col("o").isNotNull() & (F.col("o.id") != F.col("id")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    often = near.groupBy(F.col("id").alias("a"), F.col("o.id").alias("b")).agg(F.count("*").alias("c"))
+    return often.groupBy("a").agg(F.max(F.struct("c", "b")).alias("s")).select("a", "s.b")
+
+
+def _open(meetings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows on shingles where classes of different components meet, with the number of rows there.
+
+    Only classes that were linked have a label worth joining.
     """
-    rows = cut(meetings.select("h", "n", "fp", "pos").join(labelled, ["n", "fp"]).select("h", "id", "n", "pos", "component"))
-    held = rows.groupBy("h", "component").agg(F.count("*").alias("c"))
-    largest = held.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s"), F.count("*").alias("several")).filter(
-        F.col("several") > 1).select("h", F.col("s.component").alias("largest"))
-    open_ = rows.join(largest, "h")
-    minor = open_.filter(F.col("component") != F.col("largest")).drop("largest")
-    other = open_.select("h", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component")])
+    linked = labels.filter(F.col("component") != F.col("id")).withColumnRenamed("component", "_c")
+    held = meetings.join(linked, "id", "left").select("h", "id", "n", "pos", F.coalesce("_c", "id").alias("component"))
+    there = Window.partitionBy("h")
+    seen = held.withColumns({
+        "crowd": F.count("*").over(there), "_lo": F.min("component").over(there), "_hi": F.max("component").over(there)})
+    return cut(seen.filter(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi"))
+
+
+def _small_crowds(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that meet in a small crowd, pass the filters and were not tried."""
+    few = rows.filter(F.col("crowd") <= CROWD).select("h", "id", "n", "pos", "component")
+    other = few.select("h", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component")])
     larger = (F.col("n") > F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") > F.col("id_")))
-    possible = F.when(larger, _possible(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"))).otherwise(
-        _possible(F.col("n_"), F.col("pos_"), F.col("n"), F.col("pos")))
-    met = minor.join(other, "h").filter((F.col("component") != F.col("component_")) & possible)
-    pairs = met.select(F.greatest("id", "id_").alias("a"), F.least("id", "id_").alias("b"), (F.col("n") + F.col("n_")).alias("both")).distinct()
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    parts = texts.select(F.col("id"), "parts")
-    most = F.aggregate(
-        F.zip_with("parts", "parts_", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    suffix = (
-        pairs.join(tried, ["a", "b"], "left_anti")
-        .join(parts.withColumnRenamed("id", "a"), "a")
-        .join(parts.withColumnsRenamed({"id": "b", "parts": "parts_"}), "b")
-        .filter(most * 9 >= F.col("both").cast("long") * 4))
-    return cut(suffix.select("a", "b"))
+    met = few.join(other, "h").filter(
+        larger & (F.col("component") != F.col("component_")) & _possible(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_")))
+    pairs = cut(met.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct())
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _large_crowds(rows: DataFrame, classes: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of different components in large crowds that pass all filters: a forest over the components of
+    each crowd, another one every `turn`, or all pairs without a turn.
+
+    A crowd's rows come together in one task with the parts of their sets, a few hundred bytes each. The
+    task compares one class with all others at a time.
+    """
+    many = rows.filter(F.col("crowd") > CROWD).join(classes.select("id", "parts"), "id")
+    ordered = many.select("h", "id", "n", "pos", "component", "parts").repartition("h").sortWithinPartitions("h", "n", "id")
+
+    def crowd(h, ids, n, pos, component, parts):
+        """Walks over the classes; those that hash low in this turn go first and are preferred as partners."""
+        keys = (ids.view(np.uint64) + np.uint64(1 + (turn or 0)) * _FACTORS[0]) * _FACTORS[1]
+        rank = np.argsort((keys ^ (keys >> np.uint64(31))) * _FACTORS[2], kind="stable")
+        ids, n, pos, component, parts = (c[rank] for c in (ids, n, pos, component, parts))
+        out_a, out_b = [], []
+        for i in range(len(ids)):
+            others = np.flatnonzero(component[i + 1:] != component[i]) + i + 1 if turn is None else np.flatnonzero(component != component[i])
+            if not len(others):
+                if turn is not None:
+                    break  # one component is left
+                continue
+            big = (n[others] < n[i]) | ((n[others] == n[i]) & (ids[others] < ids[i]))
+            large, small = np.where(big, n[i], n[others]), np.where(big, n[others], n[i])
+            left_l, left_s = np.where(big, n[i] - pos[i], (n - pos)[others]), np.where(big, (n - pos)[others], n[i] - pos[i])
+            need = -(-(large + small) * 4 // 9)
+            fits = (small * 5 >= large * 4) & (left_s > -(-small * 8 // 9) - 1) & (np.minimum(left_l, left_s) >= need)
+            others, need = others[fits], need[fits]
+            keep = _overlap_bound(parts[others], parts[i]) >= need
+            others = others[keep]
+            if turn is not None and len(others):
+                others = others[np.unique(component[others], return_index=True)[1]]
+                component[np.isin(component, component[others])] = component[i]
+            first = (n[others] > n[i]) | ((n[others] == n[i]) & (ids[others] > ids[i]))
+            out_a.append(np.where(first, ids[others], ids[i]))
+            out_b.append(np.where(first, ids[i], ids[others]))
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    def columns(batch):
+        h, ids, n, pos, component = (batch.column(i).to_numpy() for i in range(5))
+        parts = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, PIVOTS)
+        return [h, ids, n.astype(np.int64), pos.astype(np.int64), component, parts]
+
+    def run(batches):
+        held = None  # the rows of the crowd that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = columns(batch)
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            starts = np.flatnonzero(np.concatenate(([True], now[0][1:] != now[0][:-1])))
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield from crowd(now[0][a], *[c[a:b].copy() for c in now[1:]])
+            held = [c[starts[-1]:] for c in now]
+        if held is not None:
+            yield from crowd(held[0][0], *[c.copy() for c in held[1:]])
+
+    return cut(ordered.mapInArrow(run, "a long, b long").distinct())
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return labels if links.isEmpty() else merge(labels, links)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest identifier reachable over links."""
     profile = _profile(docs, doc_id, text, sketch_bits)
     members = profile.filter(F.col("n").isNotNull()).select("doc_id", F.col("n").cast("int").alias("n"), "fp")
-    meetings = _meetings(_prefixes(docs, text, _sketch(profile, sketch_bits), sketch_bits))
+    met = _meetings(_prefixes(docs, text, _sketch(profile, sketch_bits), sketch_bits))
 
     reps = members.filter(F.col("n") > 0).groupBy("n", "fp").agg(F.min("doc_id").alias("rep"))
-    met = meetings.select("n", "fp").distinct()
-    classes = cut(met.join(reps, ["n", "fp"]).withColumn("id", F.monotonically_increasing_id()))
+    parts = profile.filter(F.col("n") > 0).select(F.col("n").cast("int").alias("n"), "fp", "parts").dropDuplicates(["n", "fp"])
+    classes, meetings = _identified(met, reps, parts)
     texts = _texts(docs, doc_id, text, classes)
 
-    first = _first_round(meetings, classes)
-    links = _verify(first, texts)
-    labels = components(links).withColumnRenamed("component", "_c")
-    labelled = classes.join(labels, "id", "left").select("n", "fp", "id", F.coalesce("_c", "id").alias("component"))
-    more = _verify(_second_round(meetings, labelled, texts, first), texts)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more)).withColumnRenamed("component", "_c")
-
-    grouped = classes.join(labels, "id", "left").withColumn("_c", F.coalesce("_c", "id"))
-    names = grouped.groupBy("_c").agg(F.min("rep").alias("name"))
-    named = grouped.join(names, "_c").select("n", "fp", "name")
+    tried = cut(_proposals(meetings))
+    labels = classes.select("id", F.col("id").alias("component"))
+    labels = _joined(labels, _verify(_like_parts(tried, classes), texts))
+    rows = _open(meetings, labels)
+    labels = _joined(labels, _verify(_like_parts(_small_crowds(rows, tried), classes), texts))
+    for turn in [*range(ROUNDS), None]:
+        rows = _open(rows.filter(F.col("crowd") > CROWD).select("h", "id", "n", "pos"), labels)
+        if rows.isEmpty():
+            break
+        pairs = _large_crowds(rows, classes, turn).join(tried, ["a", "b"], "left_anti")
+        labels = _joined(labels, _verify(cut(pairs), texts))
+        tried = tried.unionByName(pairs)
+
+    grouped = classes.select("id", "n", "fp", "rep").join(labels, "id")
+    names = grouped.groupBy("component").agg(F.min("rep").alias("name"))
+    named = grouped.join(names, "component").select("n", "fp", "name")
     of_class = reps.join(named, ["n", "fp"], "left").select("n", "fp", F.coalesce("name", "rep").alias("name"))
     found = members.filter(F.col("n") > 0).join(of_class, ["n", "fp"]).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"))
