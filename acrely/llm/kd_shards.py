@@ -91,16 +91,21 @@ def _value(dims: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.col("dim") == i, F.col(k)) for i, k in enumerate((*dims, TIE))])
 
 
+def _down(rows: DataFrame, splits: Sequence[tuple], dims: Sequence[str]) -> DataFrame:
+    """One level further: `_node` becomes the first shard of the half a row falls in."""
+    split = _few(rows.sparkSession, splits, "_node int, dim int, at long, at_tie long, high int")
+    key, tie = _value(dims), F.col(TIE)
+    beyond = F.when(F.col("dim") == len(dims), tie > F.col("at_tie")).otherwise(
+        (key > F.col("at")) | ((key == F.col("at")) & (tie > F.col("at_tie"))))
+    return rows.join(split, "_node", "left").withColumn(
+        "_node", F.when(beyond, F.col("high")).otherwise(F.col("_node"))).drop("dim", "at", "at_tie", "high")
+
+
 def descend(rows: DataFrame, levels: Sequence[Sequence[tuple]], dims: Sequence[str]) -> DataFrame:
-    """`rows` with `_node`, the first shard of the node they have come down to."""
+    """`rows` with `_node`, the shard they come down to."""
     out = rows.withColumn("_node", F.lit(0))
     for splits in levels:
-        split = _few(rows.sparkSession, splits, "_node int, dim int, at long, at_tie long, high int")
-        key, tie = _value(dims), F.col(TIE)
-        beyond = F.when(F.col("dim") == len(dims), tie > F.col("at_tie")).otherwise(
-            (key > F.col("at")) | ((key == F.col("at")) & (tie > F.col("at_tie"))))
-        out = out.join(split, "_node", "left").withColumn(
-            "_node", F.when(beyond, F.col("high")).otherwise(F.col("_node"))).drop("dim", "at", "at_tie", "high")
+        out = _down(out, splits, dims)
     return out
 
 
@@ -141,9 +146,11 @@ def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> list[list[tuple]]
     if whole is None or whole["lo_0"] is None:
         return []
     spans = [max(1, whole[f"hi_{i}"] - whole[f"lo_{i}"]) for i in range(len(dims))]
-    levels, open_ = [], {0: shards} if shards > 1 else {}
+    levels, open_, rows = [], {0: shards} if shards > 1 else {}, rows.withColumn("_node", F.lit(0))
     while open_:
-        here = descend(rows, levels, dims).filter(F.col("_node").isin(list(open_)))
+        # A level is written, so all levels run the same generated code.
+        rows = cut(_down(rows, levels[-1], dims) if levels else rows)
+        here = rows.join(_few(rows.sparkSession, [(f,) for f in open_], "_node int"), "_node")
         searches = []
         for s in here.groupBy("_node").agg(F.sum("size").alias("bytes"), *ends).collect():
             leaves = open_[s["_node"]]
