@@ -4,8 +4,9 @@ Every document gets the rate closest in relative entropy to one copy, such that
 token targets of the sources and no rate exceeds the limit: min(limit, exp(lambda * tokens)) with
 one multiplier per source. The multipliers are the solution of the convex dual. Distributed Newton
 iterations find it: each sums the tilted tokens and their derivative over (source, size) counts,
-takes a Newton step, and halves the bracket where the step would leave it. Sums are exact decimals, so reruns
-agree bit for bit.
+takes a Newton step, and halves the bracket where the step would leave it. The bracket has no ends of its own: a side
+is open until a multiplier beyond the target is found. A source that misses its target is an error. Sums are exact
+decimals, so reruns agree bit for bit.
 
 Rates become copies by error diffusion: within a source the cells are walked from the largest size to
 the smallest and what rounding leaves is owed to the next cell, so a source misses its target by
@@ -33,9 +34,9 @@ WEIGHTS = (5, 2, 1)     # by position of the source, repeating
 LIMIT = 3               # most copies of a document, and most of a source
 ITERATIONS = 60
 CLOSE = 1e-7            # relative distance from the target at which a source is solved
-FIXED_POINT = 2 ** 24   # rates are summed as whole numbers of this fraction
+FIXED_POINT = 2 ** 40   # rates are summed as whole numbers of this fraction
 SPLIT_ROWS = 20_000     # rows of a hot cell that are ranked together
-ENDS = 60.0             # multipliers are sought in [-ENDS, ENDS]
+REACH = 60.0            # a step to an open side ends at eight times the multiplier and this
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def solve(cells: DataFrame, goals: DataFrame, limit: int = LIMIT) -> DataFrame:
          / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1)).cast("double")).alias("scale"))
     state = cut(goals.join(scales, "key").select(
         "*", (F.col("target") >= limit * F.col("source_size") * (1 - 1e-12)).alias("full"),
-        F.lit(0.0).alias("lam"), F.lit(-ENDS).alias("lo"), F.lit(ENDS).alias("hi"), F.lit(False).alias("solved")))
+        F.lit(0.0).alias("lam"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(False).alias("solved")))
     for _ in range(ITERATIONS):
         fixed = F.round(_rate(limit) * FIXED_POINT).cast("decimal(20,0)")
         words = (F.col("n") * F.col("size")).cast("decimal(18,0)")
@@ -96,13 +97,18 @@ def solve(cells: DataFrame, goals: DataFrame, limit: int = LIMIT) -> DataFrame:
             .withColumn("lo", F.when(off < 0, F.col("lam")).otherwise(F.col("lo")))
             .withColumn("hi", F.when(off > 0, F.col("lam")).otherwise(F.col("hi")))
             .withColumn("_next", F.col("lam") - off / F.when(F.col("slope") > 0, F.col("slope")))
-            .withColumn("solved", F.col("full") | (F.abs(off) <= CLOSE * F.col("target")) | (F.col("hi") - F.col("lo") < 1e-12)))
-        inside = (F.col("_next") > F.col("lo")) & (F.col("_next") < F.col("hi"))
-        moved = F.when(F.col("solved"), F.col("lam")).when(inside, F.col("_next")).otherwise((F.col("lo") + F.col("hi")) / 2)
+            .withColumn("solved", F.col("full") | (F.abs(off) <= F.greatest(CLOSE * F.col("target"), F.col("source_size") / FIXED_POINT))))
+        reach = 8 * F.abs("lam") + REACH
+        low, high = F.greatest(F.col("lo"), -reach), F.least(F.col("hi"), reach)
+        inside = (F.col("_next") > F.col("lo")) & (F.col("_next") < F.col("hi")) & (F.abs("_next") <= reach)
+        moved = (
+            F.when(F.col("solved"), F.col("lam")).when(inside, F.col("_next"))
+            .when(F.col("hi") == float("inf"), high).when(F.col("lo") == float("-inf"), low).otherwise((F.col("lo") + F.col("hi")) / 2))
         state = cut(stepped.withColumn("lam", moved).select(state.columns))
         if state.filter(~F.col("solved")).isEmpty():
-            break
-    return state
+            return state
+    missed = [r.key for r in state.filter(~F.col("solved")).select("key").limit(10).collect()]
+    raise RuntimeError(f"no multiplier meets the target of the sources {missed} after {ITERATIONS} steps")
 
 
 def _diffuse(limit: int):

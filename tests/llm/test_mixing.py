@@ -81,6 +81,32 @@ def test_the_multiplier_solves_the_dual(spark):
     assert state["=c"].full
 
 
+@pytest.mark.parametrize("share", [0.3, 2.6])
+def test_many_short_texts_beside_a_huge_one(spark, share):
+    sizes = [(100, 40_000), (1_000_000, 1)]
+    whole = sum(s * n for s, n in sizes)
+    cells = spark.createDataFrame([("=a", s, n) for s, n in sizes], "key string, size long, n long")
+    goals = spark.createDataFrame([("=a", whole, share * whole)], "key string, source_size long, target double")
+    state = mixing.solve(cells, goals).first()
+    taken = sum(s * n * min(3.0, math.exp(min(50, state.lam * s / state.scale))) for s, n in sizes)
+    assert taken == pytest.approx(share * whole, rel=1e-6)
+
+
+def test_a_hot_source_with_a_huge_text(frame):
+    rows = [(0, "w " * 100_000, "xx", "c")] + [(i, "a b c d e f g h i j", "xx", "c") for i in range(1, 8001)]
+    rows += [(20_000 + i, "k l m n o p q r s t", "xx", "ab"[i % 2]) for i in range(16_000)]
+    found = summary(run(frame(rows, clashing=False)))
+    assert all(abs(x["taken"] - x["target"]) <= 20 for x in found.values())
+
+
+def test_a_missed_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    cells = spark.createDataFrame([("=a", 3, 10), ("=a", 50, 2)], "key string, size long, n long")
+    goals = spark.createDataFrame([("=a", 130, 40.0)], "key string, source_size long, target double")
+    with pytest.raises(RuntimeError, match="=a"):
+        mixing.solve(cells, goals)
+
+
 def test_reruns_and_partitions_agree(frame):
     docs = frame(corpus(4))
     pick = lambda df: sorted((r.doc_id, r.copies) for r in run(df).select("doc_id", "_mix.copies").collect())
