@@ -5,8 +5,11 @@ increasing subsequence of them are the anchors, and the gaps between anchors are
 what is equal at their two ends. Where a gap has no such word, its rarest common word serves. The
 coverage is the share of the template's words that are aligned.
 
-Only stretches of a text are aligned in which template words follow each other closely and which hold most of
-the template's different words; others cannot reach the coverage. Whole texts are read.
+Only stretches of a text are looked at in which template words follow each other closely and which hold most of
+the template's different words; others cannot reach the coverage. Within a stretch a notice may start at any word, and
+stray template words around it belong to none: for every start the longest common subsequence with the template, of
+every end at once (bit-parallel), tells the window that can be covered best and densely enough, and that window
+is aligned. Whole texts are read.
 
 Defined cases: null, empty and wordless texts have no license; of several licenses the one with the larger coverage, then
 with the longer template, then with the smaller name comes first; repeated rows are scanned one by one; further
@@ -113,6 +116,28 @@ def stretches(text: Sequence[bytes], vocabulary: set[bytes]) -> Iterator[tuple[i
         yield first, last + 1
 
 
+def windows(text: Sequence[bytes], template: Sequence[bytes], need: int) -> Iterator[tuple[int, int]]:
+    """(first, end) for each start from which `need` template words or more follow in order and densely: its best end."""
+    m, bits = len(template), {}
+    for j, w in enumerate(template):
+        bits[w] = bits.get(w, 0) | 1 << j
+    full, opening = (1 << m) - 1, set(template[:m - need + 1])
+    for first, w in enumerate(text):
+        if w not in opening:
+            continue
+        row, end, most = full, 0, 0
+        for at in range(first, min(len(text), first + int(m / DENSITY))):
+            hit = row & bits.get(text[at], 0)
+            if not hit:
+                continue
+            row = (row + hit | row - hit) & full
+            common = m - row.bit_count()
+            if common > most and common >= need and common >= DENSITY * (at + 1 - first):
+                end, most = at + 1, common
+        if end:
+            yield first, end
+
+
 class Scanner:
     """All templates, ready to be looked for."""
 
@@ -125,6 +150,9 @@ class Scanner:
     def _reachable(self, present: set[bytes], template: Sequence[bytes]) -> bool:
         return sum(w in present for w in template) >= self.coverage * len(template)
 
+    def _need(self, template: Sequence[bytes]) -> int:
+        return next(k for k in range(1, len(template) + 1) if k >= len(template) or k / len(template) >= self.coverage)
+
     def scan(self, body: bytes | None) -> tuple[list[dict], int]:
         """Licenses found, the best first, and the number of words."""
         text = words(body) if body else []
@@ -137,10 +165,14 @@ class Scanner:
                 part = text[first:end]
                 if not self._reachable(vocabulary.intersection(part), template):
                     continue
-                pairs = align(part, template)
-                covered, low, high = len(pairs) / len(template), first + pairs[0][0], first + pairs[-1][0]
-                if covered >= self.coverage and len(pairs) >= DENSITY * (high - low + 1) and (best is None or covered > best["coverage"]):
-                    best = {"license": name, "coverage": covered, "matched": len(pairs), "first": low, "last": high}
+                for start, stop in windows(part, template, self._need(template)):
+                    pairs = align(part[start:stop], template)
+                    covered = len(pairs) / len(template)
+                    low, high = first + start + pairs[0][0], first + start + pairs[-1][0]
+                    if covered < self.coverage or len(pairs) < DENSITY * (high - low + 1):
+                        continue
+                    if best is None or (covered, low - high) > (best["coverage"], best["first"] - best["last"]):
+                        best = {"license": name, "coverage": covered, "matched": len(pairs), "first": low, "last": high}
             if best:
                 out.append(best)
         out.sort(key=lambda x: (-x["coverage"], -len(self.templates[x["license"]]), x["license"]))

@@ -73,6 +73,29 @@ def test_edited_notices(frame):
     assert got == {1: [("gpl-3.0", round(11 / 12, 3))], 2: [("gpl-3.0", 1.0)], 3: [], 4: []}
 
 
+def test_stray_template_words_around_a_notice():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    text = "The parser is released under the MIT License. See the LICENSE file for the full text of the license."
+    found, _ = scanner.scan(text.encode())
+    assert [(x["license"], x["coverage"], x["first"], x["last"]) for x in found] == [("mit", 1.0, 3, 7)]
+
+
+def test_notices_in_prose_of_the_template_words():
+    rng, scanner = random.Random(6), license_scan.Scanner(license_scan.TEMPLATES)
+    for name, notice in license_scan.TEMPLATES.items():
+        template = words(notice.encode())
+        for trial in range(20):
+            strays = [[w.decode() for w in rng.choices(template, k=rng.randint(1, 4))] for _ in range(2)]
+            around = [" ".join(f"{w} {prose(rng, rng.randint(3, 7))}" for w in stray) for stray in strays]
+            lightly = [w.decode() for w in template]
+            if trial % 2 and len(template) > 5:
+                lightly[rng.randrange(1, len(template) - 1)] = "edited"
+            found, _ = scanner.scan(f"{around[0]} {' '.join(lightly)} {around[1]}".encode())
+            got = {x["license"]: x["coverage"] for x in found}
+            least = 1.0 if "edited" not in lightly else (len(template) - 1) / len(template)
+            assert got.get(name, 0) >= least - 1e-9
+
+
 def test_odd_rows(frame, odd_rows):
     docs = frame(odd_rows)
     found = license_scan.scan_licenses(docs)
