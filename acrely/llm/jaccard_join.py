@@ -13,8 +13,9 @@ of the prefixes.
 Sets that are equal form one class from the start, so copies cost nothing. Links are searched in
 rounds, and what is linked becomes one component whose members are not compared any more. First every class
 proposes one class it meets. Then every pair that meets in a small crowd is verified. In a large crowd,
-where one shingle is common to many classes, a task proposes a forest over the crowd's components; after a few such
-rounds it names every pair that is left. So a group of near copies is linked by about as many
+where one shingle is common to many classes, a task proposes a forest over the components of a block of the crowd, dealt
+anew each round; after a few such rounds blocks are compared with blocks, except inside the crowd's most frequent component, and
+every pair that is left is named. No task holds more than about two blocks. So a group of near copies is linked by about as many
 pairs as it has members, no crowd is multiplied out into a table, and no link between components is missed.
 
 Shingles are 64-bit hashes of their words, classes are known by their size and a 64-bit hash of their set.
@@ -43,6 +44,8 @@ PIVOTS = 256            # parts a set is cut into for the suffix filter, a power
 BITMAP_BITS = 23        # log2 of the bits that mark the identifiers whose texts are wanted
 OUT_ROWS = 200_000      # prefix shingles per Arrow batch
 CROWD = 16              # classes on a shingle up to which all their pairs are rows of a table
+BLOCK = 16_384          # rows of a large crowd that one task compares with each other, or with as many others
+BAND = 1.26             # sets of the wanted similarity are in the same or neighbouring bands of size, a factor over 5/4 each
 ROUNDS = 2              # of forests in large crowds, before all remaining pairs are verified
 LENGTHS = 1.1           # sets whose sizes differ by less may have a common first class
 
@@ -380,24 +383,68 @@ def _small_crowds(rows: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
+def _dealt(rows: DataFrame, turn: int | None) -> DataFrame:
+    """The rows of large crowds with the group `g` of the crowd they are compared in, and their `side`: rows of
+    one side are not compared with each other, but rows of side -1 are with all.
+
+    In a turn a crowd is dealt into blocks by a hash of id and turn. Without a turn, the blocks of a crowd of more than
+    one meet in pairs, a group each: those of the same or neighbouring bands of size, unless both are of the crowd's
+    most frequent component.
+    """
+    alone = F.lit(-1).alias("side")
+    if turn is not None:
+        block = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("crowd") / BLOCK))
+        return rows.select("h", block.alias("g"), alone, "id", "n", "pos", "component")
+    few = rows.filter(F.col("crowd") <= BLOCK).select("h", F.lit(-1).cast("long").alias("g"), alone, "id", "n", "pos", "component")
+    many = rows.filter(F.col("crowd") > BLOCK)
+    if many.isEmpty():
+        return few
+
+    # A row per crowd, and per band and side of it; there are at most as many crowds as rows by BLOCK.
+    often = many.groupBy("h", "component").count().groupBy("h").agg(F.max(F.struct("count", "component")).alias("s"))
+    placed = many.join(F.broadcast(often.select("h", F.col("s.component").alias("_most"))), "h").withColumns({
+        "band": F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))), "most": F.col("component") == F.col("_most")})
+    cells = cut(placed.groupBy("h", "band", "most").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    placed = placed.join(F.broadcast(cells), ["h", "band", "most"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+
+    same = (F.col("band") == F.col("band_")) & (F.col("most") == F.col("most_"))
+    meet = F.when(F.col("band") == F.col("band_"), ~F.col("most")).otherwise(
+        (F.col("band_") == F.col("band") + 1) & ~(F.col("most") & F.col("most_")))
+    pairs = cells.join(cells.select("h", *[F.col(c).alias(f"{c}_") for c in ("band", "most", "blocks")]), "h").filter(meet)
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("block_", F.explode(F.sequence(F.when(same, F.col("block")).otherwise(0), F.col("blocks_") - 1)))
+    itself = same & (F.col("block") == F.col("block_"))
+    pairs = cut(pairs.withColumn("itself", itself).withColumn("g", F.monotonically_increasing_id()))
+    groups = pairs.select("h", "band", "most", "block", "g", F.when(F.col("itself"), -1).otherwise(0).alias("side")).unionByName(
+        pairs.filter(~F.col("itself")).select(
+            "h", F.col("band_").alias("band"), F.col("most_").alias("most"), F.col("block_").alias("block"), "g", F.lit(1).alias("side")))
+    met = placed.join(groups, ["h", "band", "most", "block"])
+    return few.unionByName(met.select("h", "g", "side", "id", "n", "pos", "component"))
+
+
 def _large_crowds(rows: DataFrame, classes: DataFrame, turn: int | None) -> DataFrame:
     """Pairs (a, b) of different components in large crowds that pass all filters: a forest over the components of
     each crowd, another one every `turn`, or all pairs without a turn.
 
-    A crowd's rows come together in one task with the parts of their sets, a few hundred bytes each. The
+    The rows of a group come together in one task with the parts of their sets, a few hundred bytes each. The
     task compares one class with all others at a time.
     """
-    many = rows.filter(F.col("crowd") > CROWD).join(classes.select("id", "parts"), "id")
-    ordered = many.select("h", "id", "n", "pos", "component", "parts").repartition("h").sortWithinPartitions("h", "n", "id")
+    many = _dealt(rows.filter(F.col("crowd") > CROWD), turn).join(classes.select("id", "parts"), "id")
+    ordered = many.select("h", "g", "id", "n", "pos", "component", "side", "parts").repartition("h", "g").sortWithinPartitions(
+        "h", "g", "n", "id")
 
-    def crowd(h, ids, n, pos, component, parts):
+    def crowd(ids, n, pos, component, side, parts):
         """Walks over the classes; those that hash low in this turn go first and are preferred as partners."""
         keys = (ids.view(np.uint64) + np.uint64(1 + (turn or 0)) * _FACTORS[0]) * _FACTORS[1]
         rank = np.argsort((keys ^ (keys >> np.uint64(31))) * _FACTORS[2], kind="stable")
-        ids, n, pos, component, parts = (c[rank] for c in (ids, n, pos, component, parts))
-        out_a, out_b = [], []
+        ids, n, pos, component, side, parts = (c[rank] for c in (ids, n, pos, component, side, parts))
+        out_a, out_b, held = [], [], 0
         for i in range(len(ids)):
-            others = np.flatnonzero(component[i + 1:] != component[i]) + i + 1 if turn is None else np.flatnonzero(component != component[i])
+            if turn is None:
+                apart = (component[i + 1:] != component[i]) & ((side[i + 1:] != side[i]) | (side[i] < 0))
+                others = np.flatnonzero(apart) + i + 1
+            else:
+                others = np.flatnonzero(component != component[i])
             if not len(others):
                 if turn is not None:
                     break  # one component is left
@@ -416,28 +463,35 @@ def _large_crowds(rows: DataFrame, classes: DataFrame, turn: int | None) -> Data
             first = (n[others] > n[i]) | ((n[others] == n[i]) & (ids[others] > ids[i]))
             out_a.append(np.where(first, ids[others], ids[i]))
             out_b.append(np.where(first, ids[i], ids[others]))
+            held += len(others)
+            if held > OUT_ROWS:
+                yield found(out_a, out_b)
+                out_a, out_b, held = [], [], 0
         if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            yield found(out_a, out_b)
+
+    def found(out_a, out_b):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     def columns(batch):
-        h, ids, n, pos, component = (batch.column(i).to_numpy() for i in range(5))
-        parts = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, PIVOTS)
-        return [h, ids, n.astype(np.int64), pos.astype(np.int64), component, parts]
+        h, g, ids, n, pos, component, side = (batch.column(i).to_numpy() for i in range(7))
+        parts = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, PIVOTS)
+        return [h, g, ids, n.astype(np.int64), pos.astype(np.int64), component, side, parts]
 
     def run(batches):
-        held = None  # the rows of the crowd that may go on in the next batch
+        held = None  # the rows of the group that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = columns(batch)
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            starts = np.flatnonzero(np.concatenate(([True], now[0][1:] != now[0][:-1])))
+            starts = np.flatnonzero(np.concatenate(([True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))))
             for a, b in zip(starts[:-1], starts[1:]):
-                yield from crowd(now[0][a], *[c[a:b].copy() for c in now[1:]])
+                yield from crowd(*[c[a:b].copy() for c in now[2:]])
             held = [c[starts[-1]:] for c in now]
         if held is not None:
-            yield from crowd(held[0][0], *[c.copy() for c in held[1:]])
+            yield from crowd(*[c.copy() for c in held[2:]])
 
     return cut(ordered.mapInArrow(run, "a long, b long").distinct())
 

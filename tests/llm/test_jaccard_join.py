@@ -104,6 +104,35 @@ def test_a_large_group_is_linked_without_all_pairs(spark, frame, monkeypatch):
     assert sum(verified) < 2 * len(rows)
 
 
+def test_large_crowds_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    rng = random.Random(12)
+    held = {i: (rng.randint(40, 90), 7 if rng.random() < 0.8 else i) for i in range(300)}
+    rows = spark.createDataFrame([(1, i, n, 0, c, 300) for i, (n, c) in held.items()], "h long, id long, n int, pos int, component long, crowd long")
+    for turn in (0, 1, None):
+        groups = {}
+        for r in jaccard_join._dealt(rows, turn).collect():
+            groups.setdefault(r.g, []).append((r.side, r.id))
+        assert max(map(len, groups.values())) < 80
+        if turn is not None:
+            assert sorted(i for g in groups.values() for _, i in g) == sorted(held)
+            continue
+        met = [frozenset((i, j)) for g in groups.values() for s, i in g for t, j in g if i < j and (s < 0 or s != t)]
+        assert len(met) == len(set(met))
+        fitting = {frozenset((i, j)) for i in held for j in held if i < j and held[i][1] != held[j][1]
+                   and min(held[i][0], held[j][0]) * 5 >= max(held[i][0], held[j][0]) * 4}
+        assert fitting <= set(met)
+        assert not any(held[i][1] == 7 and held[j][1] == 7 for i, j in map(tuple, met))
+
+
+def test_blocks_find_every_link(frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    rows = corpus(7)
+    assert got(jaccard_join.near_duplicates(frame(rows), sketch_bits=6)) == brute(rows)
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(60))
     random.Random(1).shuffle(ids)
