@@ -30,8 +30,8 @@ LOG_AS_OF = "2024-01-30 12:00:00"
 BOOK_AS_OF = "1998-06-30"
 REQUEST_TOLERANCE = 30.0
 # Sizes of the registered tree models; empty: those of the library.
-FOREST: dict[str, int] = {"trees": 20, "depth": 8}
-BOOSTING: dict[str, int] = {"rounds": 30}
+FOREST: dict[str, int] = {}
+BOOSTING: dict[str, int] = {}
 HIGH_YIELD = {"gross_rental_yield_pct": 8.0, "annual_appreciation_pct": 12.0, "mortgage_rate_pct": 0.0}
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from acrely.operators import features, models, prep, ranks
 from acrely.operators import network as net
+from acrely.plans import queries
 
 
 def matrix(spark, n=400, k=4, seed=3):
@@ -156,3 +157,9 @@ def test_early_stop(spark):
     noise = df.withColumn("label", F.rand(1))
     fitted = net.PriceNetwork(net.Settings(hidden=(8,), epochs=60, rate=5e-2, patience=2, shards=2)).fit(noise, noise.withColumn("label", F.rand(9)))
     assert len(fitted.history) < 60 * 3
+
+
+def test_registered_models_have_the_default_sizes(spark):
+    forest = queries.CANDIDATES["Random Forest"](None)
+    boosted = queries.CANDIDATES["Gradient Boosting"](None)
+    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (200, 15, 300, 6)
