@@ -8,8 +8,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrely.llm import chat_format, decontaminate, exact_dedup, jaccard_join, kd_shards, language_id, license_scan, mixing, quality, toxicity
-from acrely.llm.common import fold, table
+from acrely.llm import (
+    chat_format, decontaminate, exact_dedup, importance, jaccard_join, kd_shards, language_id, license_scan, merkle, mixing, quality,
+    toxicity,
+)
+from acrely.llm.common import ascii_lower, fold, table
 from acrely.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +181,116 @@ def op3_license_scan(spark, folder):
         "doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["matched"].alias("matched"),
         best["first"].alias("first_word"), best["last"].alias("last_word"), F.size("_scan.licenses").cast("long").alias("n_licenses"),
         "_scan.n_words")
+
+
+def sql_crc32(relation: str, column: str, kept: str) -> str:
+    """DuckDB SQL that adds `crc`, the unsigned crc32 of the UTF-8 bytes of `column`, to the rows of a relation.
+    The bytes are taken four bits at a time, low half first, so that the table has sixteen entries."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = f"xor(c >> 4, {table}[1 + (xor(c, v) & 15)])"
+    return f"""SELECT {kept}, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(h) // 2 + 1),
+      lambda i: [h[2 * i], h[2 * i - 1]]))), lambda c, v: {step}), 4294967295) AS crc
+    FROM (SELECT {kept}, list_transform(string_split(hex(encode({column})), ''), lambda x: instr('0123456789ABCDEF', x) - 1) AS h FROM {relation})"""
+
+
+@query
+def op12_importance_resampling(spark, folder):
+    docs = table(spark, folder, "documents")
+    gains = importance.fit(docs, table(spark, folder, "benchmark"))
+    return importance.resample(docs, gains, keep=["doc_id"]).select(
+        "doc_id", "_drawn.n_features", "_drawn.weight", "_drawn.score", "_drawn.rank")
+
+
+ORACLE["op12_importance_resampling"] = f"""
+WITH w AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ITEM_WORD}') AS words FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ITEM_WORD}') FROM benchmark),
+f AS (
+  SELECT side, rid, unnest(words) AS feature FROM w UNION ALL
+  SELECT side, rid, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w),
+n AS (SELECT side, rid, feature, count(*) AS n FROM f GROUP BY ALL),
+kinds AS (SELECT DISTINCT feature FROM n),
+codes AS ({sql_crc32('kinds', 'feature', 'feature')}),
+b AS (SELECT side, rid, crc % 10000 AS bucket, sum(n) AS n FROM n JOIN codes USING (feature) GROUP BY ALL),
+sums AS (SELECT sum(n) FILTER (side = 0) AS all_s, sum(n) FILTER (side = 1) AS all_t FROM b),
+per AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM b GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (coalesce(all_s, 0) + 10000) AS DOUBLE)
+    / CAST((coalesce(s, 0) + 1) * (coalesce(all_t, 0) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM per, sums),
+weights AS (
+  SELECT rid, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features
+  FROM b JOIN gains USING (bucket) WHERE side = 0 GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || CAST(doc_id AS VARCHAR)), 8) AS BIGINT) + 0.5)::DOUBLE
+      / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (rid) WHERE side = 0),
+ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS many FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * many // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (rid)"""
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    now = [F.col(c) for c in merkle.FIELDS[:-1]]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf_hash([*now, ascii_lower(F.col("text"))]))
+    return merkle.prove(merkle.build(docs, later=tampered)).withColumnRenamed("key", "doc_id")
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """Trees of up to 8 ** `levels` leaves: a query has no loop that could hash until one is left. Proofs and folds go up the tree of the groups, then that of the subroots."""
+    def digest(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        value = "CAST({0} AS VARCHAR)"
+        parts = [f"coalesce(CAST(strlen({value.format(c)}) AS VARCHAR) || ':' || {value.format(c)}, '-')" for c in fields]
+        return f"sha256({' || '.join(parts)})"
+
+    steps = [
+        f"""r AS (SELECT row_number() OVER () AS rid, * FROM documents),
+names AS (SELECT rid, CAST(doc_id AS VARCHAR) AS name FROM r),
+crcs AS ({sql_crc32('names', 'name', 'rid')}),
+langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+x AS (
+  SELECT rid, doc_id, lang, {digest('text')} AS leaf,
+    CASE WHEN crc % 3 = 0 THEN {digest(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM r LEFT JOIN crcs USING (rid)),
+l AS (
+  SELECT rid, doc_id, leaf, coalesce(changed, leaf) AS later, tree,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM x JOIN langs ON x.lang IS NOT DISTINCT FROM langs.lang),
+a0 AS (SELECT tree, idx, leaf AS h FROM l)"""]
+    for prefix, first in (("a", None), ("t", f"SELECT -1 AS tree, tree AS idx, h FROM a{levels}")):
+        if first:
+            steps.append(f"{prefix}0 AS ({first})")
+        for i in range(levels):
+            steps.append(f"""{prefix}{i + 1} AS (SELECT tree, idx // 8 AS idx, CASE WHEN any_value(w) = 1 THEN any_value(h) ELSE
+  sha256(string_agg(h, '' ORDER BY idx)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM {prefix}{i}) GROUP BY tree, idx // 8)""")
+    steps.append("p0 AS (SELECT rid, tree, idx, later AS f, '' AS s FROM l)")
+    at = 0
+    for prefix in ("a", "t"):
+        if prefix == "t":
+            steps.append(f"p{at + 1} AS (SELECT rid, -1 AS tree, tree AS idx, f, s FROM p{at})")
+            at += 1
+        for i in range(levels):
+            steps.append(f"""g{at} AS (
+  SELECT tree, idx // 8 AS up, list(h ORDER BY idx) AS run, any_value(w) AS w
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM {prefix}{i}) GROUP BY tree, idx // 8),
+p{at + 1} AS (
+  SELECT rid, p.tree, idx // 8 AS idx, CASE WHEN w = 1 THEN f ELSE sha256(
+      array_to_string(run[1:idx % 8], '') || f || array_to_string(run[idx % 8 + 2:], '')) END AS f,
+    s || CASE WHEN w = 1 THEN '' ELSE array_to_string(run[1:idx % 8], '') || array_to_string(run[idx % 8 + 2:], '') END AS s
+  FROM p{at} AS p JOIN g{at} AS g ON p.tree = g.tree AND p.idx // 8 = g.up)""")
+            at += 1
+    return f"""WITH {', '.join(steps)}
+SELECT doc_id, leaf, a{levels}.h AS subroot, t{levels}.h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = t{levels}.h AS verified
+FROM l JOIN p{at} USING (rid) JOIN a{levels} ON a{levels}.tree = l.tree CROSS JOIN t{levels}"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()
