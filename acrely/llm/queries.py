@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from acrely.llm import (
     chat_format, decontaminate, exact_dedup, importance, jaccard_join, kd_shards, language_id, license_scan, merkle, mixing, quality,
-    toxicity,
+    toxicity, warc,
 )
 from acrely.llm.common import ascii_lower, fold, table
-from acrely.session import prepare
+from acrely.session import cut, forget_at_exit, fresh_dir, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,6 +183,27 @@ def op3_license_scan(spark, folder):
         "_scan.n_words")
 
 
+@query
+def op11_warc(spark, folder):
+    pages, archive = table(spark, folder, "pages"), fresh_dir(spark, "warc")
+    forget_at_exit(spark, archive)
+    warc.write_archives(warc.plan_records(pages), archive, warc.train_dictionary(pages))
+    records = cut(warc.read_archives(spark, archive, payloads=False).drop("payload"))
+    key = dict(pages.dtypes)["page_id"]
+    return warc.resolve(records).select(
+        F.col("key").cast(key).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to").cast(key).alias("refers_to"))
+
+
+ORACLE["op11_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+r AS (SELECT *, strlen(body) >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS later FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to
+FROM r"""
+
+
 def sql_crc32(relation: str, column: str, kept: str) -> str:
     """DuckDB SQL that adds `crc`, the unsigned crc32 of the UTF-8 bytes of `column`, to the rows of a relation.
     The bytes are taken four bits at a time, low half first, so that the table has sixteen entries."""
