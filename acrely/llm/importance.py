@@ -3,7 +3,7 @@
 Words come from bytes: one 256-byte table lower-cases A-Z and blanks every separator of the UTF-8 text,
 and `bytes.split` yields the words. A feature is a run of 1 to `runs` words joined by one space; its hash
 is chained, crc32 of a run being crc32 of its last word seeded with that of the run before it, so longer
-runs cost one step each. Counters reduce a batch to its distinct features and those to counts per bucket;
+runs cost one step each. Counters reduce the texts of a task to distinct features and those to counts per bucket;
 a task hands on at most `buckets` rows, so the corpus model is a table of fixed size however large the
 corpus is.
 
@@ -29,17 +29,20 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acrely.llm.common import append
+from acrely.session import cut
 
 RUNS = 2                # longest run of words that is a feature
 BUCKETS = 10_000
-MEMO = 1 << 18          # features a task remembers at a time
+DISTINCT = 1 << 18      # distinct features a task counts before it reduces them to buckets
 MAX_SEED = 4294967296   # crc32 and the noise's hash are below this
 
 
@@ -57,38 +60,32 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(TABLE).split() if text else []
 
 
-class Hashes(dict):
-    """crc32 of a run of words (a tuple), chained from the run without its last word."""
-
-    def __missing__(self, run: tuple[bytes, ...]) -> int:
-        value = crc32(b" " + run[-1], self[run[:-1]]) if len(run) > 1 else crc32(run[0])
-        self[run] = value
-        return value
-
-
-def runs_of(words: Sequence[bytes], longest: int) -> Iterator[Iterator[tuple[bytes, ...]]]:
-    for n in range(1, longest + 1):
-        yield zip(*(words[i:] for i in range(n)))
+def run_hashes(words: Sequence[bytes], longest: int) -> Iterator[list[int]]:
+    """crc32 of every run of 1, 2 ... `longest` words, a list for each length. A run's hash is that of the run without
+    its last word, carried on over a blank and that word: the shorter hash is the seed."""
+    hashes = list(map(crc32, words))
+    yield hashes
+    for n in range(2, longest + 1):
+        hashes = list(map(crc32, words[n - 1:], map(crc32, repeat(b" "), hashes)))
+        yield hashes
 
 
 def feature_counts(texts: DataFrame, text: str = "text", longest: int = RUNS, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): how often the features of all texts fall in each bucket; buckets without any are left out."""
 
     def run(batches):
-        counts, seen, hashes = Counter(), Counter(), Hashes()
+        counts, seen = Counter(), Counter()
 
         def reduce_seen() -> None:
-            for feature, n in seen.items():
-                counts[hashes[feature] % buckets] += n
+            for value, n in seen.items():
+                counts[value % buckets] += n
             seen.clear()
-            hashes.clear()
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                words = words_of(body)
-                for features in runs_of(words, longest):
-                    seen.update(features)
-                if len(seen) > MEMO:
+                for hashes in run_hashes(words_of(body), longest):
+                    seen.update(hashes)
+                if len(seen) > DISTINCT:
                     reduce_seen()
         reduce_seen()
         if counts:
@@ -122,28 +119,19 @@ def weigh(docs: DataFrame, gains: Gains, text: str = "text", into: str = "_weigh
     sent = docs.sparkSession.sparkContext.broadcast(gains)
 
     def start():
-        table, longest = sent.value.table, sent.value.longest
-        hashes = Hashes()
-
-        class Gained(dict):
-            def __missing__(self, run):
-                value = self[run] = table[hashes[run] % len(table)]
-                return value
-
-        memo = Gained()
+        table, longest = np.array(sent.value.table, dtype=np.int64), sent.value.longest
 
         def work(texts):
             n_words, n_features, weights = [], [], []
             for body in texts:
                 words = words_of(body)
-                n = sum(max(0, len(words) - k) for k in range(longest))
-                gained = sum(sum(map(memo.__getitem__, features)) for features in runs_of(words, longest))
+                n, gained = 0, 0
+                for hashes in run_hashes(words, longest):
+                    n += len(hashes)
+                    gained += int(table[np.array(hashes, dtype=np.int64) % len(table)].sum())
                 n_words.append(len(words))
                 n_features.append(n)
                 weights.append(gained // n if n else 0)
-                if len(memo) > MEMO:
-                    memo.clear()
-                    hashes.clear()
             return [pa.array(x, pa.int64()) for x in (n_words, n_features, weights)]
 
         return work
@@ -167,8 +155,6 @@ def resample(
     Of the N rows with `least_words` or more, floor(percent * N / 100) are drawn: the highest scores, among
     equal ones the smallest identifiers.
     """
-    from acrely.session import cut
-
     kept = [c for c in (docs.columns if keep is None else keep) if c != into]
     weighed = weigh(docs.withColumn("_key", F.col(f"`{key}`")), gains, text, "_w", [*kept, "_key"])
     scored = cut(weighed.select(
