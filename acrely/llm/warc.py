@@ -45,6 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from acrely.llm.common import sampled
+
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -446,13 +448,14 @@ class WarcSource(DataSource):
 def train_dictionary(
     pages: DataFrame, body: str = "html", size: int = DICTIONARY_BYTES, rows: int = SAMPLE_ROWS, each: int = SAMPLE_BYTES,
 ) -> bytes:
-    """A dictionary from at most `rows` rows, drawn by a hash of the body, and `each` bytes of them; empty if they are too few.
+    """A dictionary from about `rows` rows, drawn by a hash, and `each` bytes of them; empty if they are too few.
     It only makes archives smaller: any dictionary gives the same records."""
-    data = F.col(f"`{body}`").cast("binary")
-    drawn = pages.filter(F.octet_length(F.col(f"`{body}`")) > 0).select(data.alias("b")).orderBy(F.xxhash64("b")).limit(rows)
-    samples = [bytes(r["b"]) for r in drawn.select(F.substring("b", 1, each).alias("b")).collect()]
+    others = [F.col(f"`{c}`") for c in pages.columns if c != body]
+    filled = pages.filter(F.octet_length(F.col(f"`{body}`")) > 0).select(
+        F.xxhash64(*others).alias("at"), F.substring(F.col(f"`{body}`").cast("binary"), 1, each).alias("sample"))
+    drawn = sampled(filled, "at", rows, 0).select("sample").limit(2 * rows)  # rows alike in all other columns are drawn together
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, [bytes(r["sample"]) for r in drawn.collect()]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
