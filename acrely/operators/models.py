@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model
-from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
-    RandomForestRegressionModel, RandomForestRegressor,
-)
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from acrely.functions.money import price_band
 from acrely.functions.numeric import rnd
 from acrely.operators.network import NetworkEstimator, PriceNetwork
 from acrely.operators.profile import histogram
+from acrely.operators.trees import TreeEnsemble, boosted, forest
 
 METRICS = ["r2", "rmse", "mae", "mape"]
 EPS = 2.220446049250313e-16   # smallest denominator of the library form of MAPE
@@ -40,24 +38,12 @@ def ridge(train: DataFrame, alpha: float = 10.0) -> LinearRegression:
         regParam=alpha * (spread or 1.0) / n, elasticNetParam=0.0, standardization=False, solver="normal")
 
 
-def forest(trees: int = 200, depth: int = 15, leaf: int = 4, seed: int = 42) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all",
-        maxBins=64, seed=seed)
-
-
-def boosted(rounds: int = 300, depth: int = 6, rate: float = 0.05, seed: int = 42) -> GBTRegressor:
-    return GBTRegressor(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        maxBins=64, seed=seed)
-
-
 def robust() -> LinearRegression:
     return LinearRegression(loss="huber", maxIter=200, labelCol="label_m", predictionCol="prediction_m")
 
 
 Candidate = Callable[[DataFrame], object]
-# The names of the models and, above, the sizes they have by default.
+# The names of the models.
 CANDIDATES: dict[str, Candidate] = {
     "Linear Regression": lambda train: linear(),
     "Ridge Regression": lambda train: ridge(train),
@@ -130,23 +116,32 @@ def best_model(metrics: DataFrame) -> DataFrame:
 # ---- training -----------------------------------------------------------
 @dataclass
 class ModelTrainer:
-    """Fits every candidate on one cached table and compares them on another."""
+    """Fits every candidate on one cached table and compares them on another.
+
+    Candidates are fitted side by side, `at_once` at a time: each has stretches that do not fill a cluster.
+    """
 
     candidates: Mapping[str, Candidate] = field(default_factory=lambda: dict(CANDIDATES))
-    models: dict[str, Model] = field(default_factory=dict)
+    models: dict[str, object] = field(default_factory=dict)
     best_name: str | None = None
+    at_once: int = 5
 
     def train(self, train: DataFrame, test: DataFrame) -> DataFrame:
         """(position, model, r2, rmse, mae, mape), best first."""
         spark = train.sparkSession
         train = train.select("features", "label").persist()
         test = test.select("features", "label").persist()
-        rows = []
+
+
+        def fit_and_score(position: int, name: str, candidate: Candidate) -> tuple:
+            model = candidate(train).fit(train)
+            return model, (position, name, *regression_metrics(model.transform(test)).first())
+
         try:
-            for position, (name, candidate) in enumerate(self.candidates.items()):
-                self.models[name] = candidate(train).fit(train)
-                scored = self.models[name].transform(test)
-                rows.append((position, name, *regression_metrics(scored).first()))
+            with ThreadPoolExecutor(self.at_once) as pool:
+                fitted = list(pool.map(fit_and_score, range(len(self.candidates)), self.candidates, self.candidates.values()))
+            self.models = {row[1]: model for model, row in fitted}
+            rows = [row for _, row in fitted]
         finally:
             train.unpersist()
             test.unpersist()
@@ -167,10 +162,7 @@ class ModelTrainer:
 
     def save(self, spark: SparkSession, path: str) -> None:
         for name, model in self.models.items():
-            if isinstance(model, PriceNetwork):
-                model.save(spark, f"{path}/{slug(name)}")
-            else:
-                model.write().overwrite().save(f"{path}/{slug(name)}")
+            save_model(spark, model, f"{path}/{slug(name)}")
         kinds = spark.createDataFrame(
             [(name, slug(name), type(model).__name__) for name, model in self.models.items()],
             "model string, folder string, kind string")
@@ -178,17 +170,26 @@ class ModelTrainer:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "ModelTrainer":
-        kinds = {k.__name__: k for k in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
         inst = cls()
         for row in spark.read.parquet(f"{path}/registry").collect():  # one row per model
-            folder = f"{path}/{row['folder']}"
-            network = row["kind"] == "PriceNetwork"
-            inst.models[row["model"]] = PriceNetwork.load(spark, folder) if network else kinds[row["kind"]].load(folder)
+            inst.models[row["model"]] = load_model(spark, row["kind"], f"{path}/{row['folder']}")
             if row["active"]:
                 inst.best_name = row["model"]
         return inst
 
 
+def save_model(spark: SparkSession, model, path: str) -> None:
+    if isinstance(model, LinearRegressionModel):
+        model.write().overwrite().save(path)
+    else:
+        model.save(spark, path)
+
+
+def load_model(spark: SparkSession, kind: str, path: str):
+    own = {k.__name__: k for k in (TreeEnsemble, PriceNetwork)}
+    return own[kind].load(spark, path) if kind in own else LinearRegressionModel.load(path)
+
+
 def slug(name: str) -> str:
     return name.lower().replace(" ", "_")
 
@@ -216,7 +217,7 @@ def evaluate_all(trainer: ModelTrainer, test: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("r2"))
 
 
-def feature_importance(model: Model, names: Sequence[str], spark: SparkSession) -> DataFrame:
+def feature_importance(model, names: Sequence[str], spark: SparkSession) -> DataFrame:
     """Tree importances, or the size of the weights; empty for other models."""
     if hasattr(model, "featureImportances"):
         weights = model.featureImportances.toArray()

@@ -17,6 +17,7 @@ from acrely.operators import (
     activity, anomaly, enquiries, features, inventory, invest, models, prep, profile, ranks, recommend, validate,
 )
 from acrely.plans.market import Market, train_and_report
+from acrely.plans.stored import LineUp
 from acrely.plans.requests import customer_requests, newest_per_city_and_type
 from acrely.session import cut, fresh_dir, prepare
 from acrely.sources import files, pages, tables
@@ -795,7 +796,6 @@ def best_model_argmax(spark, d):
 # ---- trained models -----------------------------------------------------
 CANDIDATES = {**models.CANDIDATES,
               "Random Forest": lambda train: models.forest(**FOREST), "Gradient Boosting": lambda train: models.boosted(**BOOSTING)}
-LINE_UPS: dict = {}
 
 
 def _learnable(spark, d):
@@ -804,22 +804,10 @@ def _learnable(spark, d):
     return rows.withColumn("price", F.col("fair_price").cast("double")).drop("fair_ppsf", "fair_price", "price_gap")
 
 
-def _prepared(spark, d):
-    """Enrich once into a table; every later pass reads that."""
-    prepared = prep.ListingPreprocessor()
-    train, test = prepared.fit_transform(cut(features.enrich(_learnable(spark, d))))
-    return prepared, cut(train), cut(test)
-
-
 def _line_up(spark, d):
-    """All candidates, fitted once per application and folder: the queries below look at the same models."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in LINE_UPS:
-        prepared, train, test = _prepared(spark, d)
-        trainer = models.ModelTrainer(dict(CANDIDATES))
-        metrics = {r["model"]: r.asDict() for r in trainer.train(train, test).collect()}
-        LINE_UPS[key] = prepared, train, test, trainer, metrics
-    return LINE_UPS[key]
+    """The candidates over the learnable listings; the queries below look at the same stored models."""
+    inputs = [f"{d}/{name}.parquet" for name in ("lineitem", "part", "supplier")]
+    return LineUp(spark, inputs, lambda: cut(features.enrich(_learnable(spark, d))), CANDIDATES, f"{FOREST} {BOOSTING}")
 
 
 @query
@@ -835,10 +823,10 @@ def prepared_features(spark, d):
         *[rnd(x[i], 4).alias(c) for i, c in enumerate(again.feature_columns)])
 
 
-def _gradient(spark, d, estimator, alpha=0.0):
+def _gradient(spark, d, name, alpha=0.0):
     """The normal equations of a linear fit: what is left of them, per feature and for the intercept."""
-    _, train, _ = _prepared(spark, d)
-    model = estimator(train).fit(train)
+    line = _line_up(spark, d)
+    model, train = line.model(name), line.train
     weights = list(model.coefficients)
     x, off = vector_to_array("features"), F.col("label") - F.col("prediction")
     sums = model.transform(train).agg(
@@ -850,17 +838,18 @@ def _gradient(spark, d, estimator, alpha=0.0):
 
 @query
 def model_linear(spark, d):
-    return _gradient(spark, d, lambda train: models.linear())
+    return _gradient(spark, d, "Linear Regression")
 
 
 @query
 def model_ridge(spark, d):
-    return _gradient(spark, d, models.ridge, 10.0)
+    return _gradient(spark, d, "Ridge Regression", 10.0)
 
 
 def _standing(spark, d, name):
-    _, _, test, _, metrics = _line_up(spark, d)
-    return test.agg(
+    line = _line_up(spark, d)
+    _, metrics = line.trainer(["Linear Regression", name])
+    return line.test.agg(
         F.lit(name).alias("model"), F.count("*").alias("scored"), F.lit(metrics[name]["r2"] > 0.5).alias("above_half"),
         F.lit(metrics[name]["r2"] > metrics["Linear Regression"]["r2"]).alias("beats_linear"))
 
@@ -882,14 +871,14 @@ def model_mlp(spark, d):
 
 @query
 def model_huber(spark, d):
-    _, train, test = _prepared(spark, d)
-    found = models.regression_metrics(models.predict_robust(models.fit_robust(train), test))
+    line = _line_up(spark, d)
+    found = models.regression_metrics(models.predict_robust(models.fit_robust(line.train), line.test))
     return found.select((F.col("r2") > 0.4).alias("explains"), (F.col("mae") < F.col("rmse")).alias("mae_below_rmse"))
 
 
 @query
 def model_comparison(spark, d):
-    _, _, _, trainer, metrics = _line_up(spark, d)
+    trainer, metrics = _line_up(spark, d).trainer()
     best = max(m["r2"] for m in metrics.values())
     return spark.createDataFrame(
         [(name, m["position"], m["r2"] > 0.4, (m["r2"] == best) == (name == trainer.best_name)) for name, m in metrics.items()],
@@ -898,7 +887,7 @@ def model_comparison(spark, d):
 
 @query
 def model_registry(spark, d):
-    trainer = _line_up(spark, d)[3]
+    trainer, _ = _line_up(spark, d).trainer()
     path = fresh_dir(spark, "models")
     trainer.save(spark, path)
     stored = spark.read.parquet(f"{path}/registry")
@@ -908,18 +897,19 @@ def model_registry(spark, d):
 
 @query
 def model_reevaluation(spark, d):
-    _, _, test, trainer, metrics = _line_up(spark, d)
-    path = fresh_dir(spark, "models")
-    trainer.save(spark, path)
+    """The stored models on the holdout, beside the metrics that were noted when they were fitted."""
+    line = _line_up(spark, d)
+    trainer, metrics = line.trainer()
     known = spark.createDataFrame([(k, m["r2"]) for k, m in metrics.items()], "model string, known double")
-    found = models.evaluate_all(models.ModelTrainer.load(spark, path), test)
-    return found.join(known, "model").select("model", (F.abs(F.col("r2") - F.col("known")) <= 0.02).alias("agrees"))
+    return models.evaluate_all(trainer, line.test).join(known, "model").select(
+        "model", (F.abs(F.col("r2") - F.col("known")) <= 0.02).alias("agrees"))
 
 
 @query
 def predict_batch(spark, d):
-    _, _, test, trainer, _ = _line_up(spark, d)
-    found = models.predicted_prices(trainer.predict(test), trainer.best_name)
+    line = _line_up(spark, d)
+    trainer, _ = line.trainer()
+    found = models.predicted_prices(trainer.predict(line.test), trainer.best_name)
     low, mid, high = F.col("price_range_low"), F.col("predicted_price"), F.col("price_range_high")
     band = (mid >= 0) & (F.abs(low - mid * 0.9) <= 0.02) & (F.abs(high - mid * 1.1) <= 0.02)
     return found.select("property_id", (F.col("model_used") == trainer.best_name).alias("best_used"), band.alias("band"))
@@ -927,19 +917,21 @@ def predict_batch(spark, d):
 
 @query
 def feature_importance(spark, d):
-    prepared, _, _, trainer, _ = _line_up(spark, d)
+    line = _line_up(spark, d)
+    names = ["Random Forest", "Gradient Boosting"]
+    trainer, _ = line.trainer(names)
     parts = [
-        models.feature_importance(trainer.models[name], prepared.feature_columns, spark).agg(
+        models.feature_importance(trainer.models[name], line.prepared.feature_columns, spark).agg(
             F.lit(name).alias("model"), F.count("*").alias("features"), rnd(F.sum("importance"), 6).alias("total"))
-        for name in ("Random Forest", "Gradient Boosting")]
+        for name in names]
     return parts[0].unionByName(parts[1])
 
 
 @query
 def training_history(spark, d):
-    _, train, _, trainer, _ = _line_up(spark, d)
-    robust = models.training_history(models.fit_robust(train), spark).withColumn("model", F.lit("Robust Regression"))
-    network = trainer.models["Neural Network"].history_table(spark).withColumn("model", F.lit("Neural Network"))
+    line = _line_up(spark, d)
+    robust = models.training_history(models.fit_robust(line.train), spark).withColumn("model", F.lit("Robust Regression"))
+    network = line.model("Neural Network").history_table(spark).withColumn("model", F.lit("Neural Network"))
     return robust.unionByName(network).groupBy("model", "metric").agg(
         (F.count("*") > 1).alias("several"), (F.max_by("value", "epoch") < F.min_by("value", "epoch")).alias("falls"))
 

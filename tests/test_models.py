@@ -116,50 +116,82 @@ def test_impute_and_constant_scaling(spark):
     assert [r.b for r in scaled.collect()] == [0.0] * 4
 
 
-def test_network_gradient_matches_differences():
+def steps_of(layers, flat, parts, salt):
+    """The sums of every phase of a step over several shards."""
+    phases = [net.step_sums(layers, flat, *p, salt) for p in parts]
+    known = [sum(next(p) for p in phases)]
+    while len(known[-1]) != layers.size + 3:
+        known.append(sum(p.send(known[-1]) for p in phases))
+    return known
+
+
+@pytest.mark.parametrize("normalised, dropout", [((False,), (0.0,)), ((True, False), (0.0, 0.0)), ((True, True), (0.4, 0.3))])
+def test_network_gradient_matches_differences(normalised, dropout):
     rng = np.random.default_rng(0)
-    x, y, hidden = rng.normal(size=(7, 3)), rng.normal(size=7), (4, 3)
-    flat = net.start_weights(3, hidden, 1)
+    x, y, keys = rng.normal(size=(9, 3)), rng.normal(size=9), rng.integers(0, 1 << 60, 9)
+    layers = net.Layers(3, net.Settings(hidden=(5, 4), normalised=normalised, dropout=dropout))
+    flat = layers.start() + rng.normal(size=layers.size) * 0.1
 
     def loss(w):
-        value = net.huber(net.forward(w, x, hidden)[-1][:, 0] - y).mean()
-        return value + 0.01 * sum((m * m).sum() for m, _ in net.layers(w, 3, hidden))
+        return steps_of(layers, w, [(x, y, keys)], 7)[-1][-2]
 
-    g = net.gradient(flat, x, y, hidden, 0.01)
-    for i in range(0, len(flat), 3):
+    g = steps_of(layers, flat, [(x, y, keys)], 7)[-1][:-3]
+    for i in range(layers.size):
         step = np.zeros_like(flat)
         step[i] = 1e-6
-        assert g[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, abs=1e-5)
+        assert g[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, abs=1e-4)
+
+
+def test_shards_add_up_to_the_whole_batch():
+    rng = np.random.default_rng(1)
+    x, y, keys = rng.normal(size=(40, 3)), rng.normal(size=40), rng.integers(0, 1 << 60, 40)
+    layers = net.Layers(3, net.Settings(hidden=(6, 4), normalised=(True, False), dropout=(0.2, 0.0)))
+    flat = layers.start()
+    whole = steps_of(layers, flat, [(x, y, keys)], 3)
+    parts = steps_of(layers, flat, [(x[a:b], y[a:b], keys[a:b]) for a, b in ((0, 13), (13, 13), (13, 40))], 3)
+    for a, b in zip(whole, parts):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_dropout_is_by_row_unit_and_step():
+    keys = np.arange(5_000, dtype=np.int64)
+    mask = net.kept(keys, 20, 0.3, 1)
+    assert abs(mask.mean() - 0.7) < 0.01 and abs(mask.mean(axis=0) - 0.7).max() < 0.05
+    assert (net.kept(keys[::-1], 20, 0.3, 1)[::-1] == mask).all() and (net.kept(keys, 20, 0.3, 65) != mask).any()
 
 
 def test_network_learns_and_is_stored(spark, tmp_path):
     _, _, df = matrix(spark, n=600)
     train, test = df.filter(F.hash("property_id") % 5 != 0), df.filter(F.hash("property_id") % 5 == 0)
-    fitted = net.PriceNetwork(net.Settings(hidden=(16, 8), epochs=25, batch=16, rate=5e-3, shards=3)).fit(train, test)
+    fitted = net.PriceNetwork(net.Settings(hidden=(16, 8), normalised=(False,), dropout=(0.0,), epochs=25, batch=16, rate=5e-3)).fit(train, test)
     assert models.regression_metrics(fitted.predict(test)).first().r2 > 0.9
     history = fitted.history_table(spark)
     losses = [r.value for r in history.filter("metric = 'loss'").orderBy("epoch").collect()]
     assert losses[-1] < losses[0] / 5
     fitted.save(spark, str(tmp_path / "n"))
-    again = net.PriceNetwork.load(spark, str(tmp_path / "n")).predict(test)
-    assert again.select("prediction").collect() == fitted.predict(test).select("prediction").collect()
+    again = net.PriceNetwork.load(spark, str(tmp_path / "n"))
+    assert again.settings == fitted.settings and again.history == fitted.history
+    assert again.predict(test).select("prediction").collect() == fitted.predict(test).select("prediction").collect()
 
 
-def test_weights_do_not_depend_on_partitions(spark):
+def test_weights_do_not_depend_on_partitions_or_shards(spark):
     _, _, df = matrix(spark, n=200)
-    settings = net.Settings(hidden=(4,), epochs=2, shard_rows=60)
-    fits = [net.PriceNetwork(settings).fit(x, df) for x in (df, df.repartition(7))]
-    np.testing.assert_allclose(fits[0].weights, fits[1].weights, rtol=1e-6, atol=1e-9)
+    fits = [net.PriceNetwork(net.Settings(hidden=(4, 3), epochs=2, steps=2, shard_rows=rows)).fit(x, df)
+            for x, rows in ((df, 1000), (df.repartition(7), 1000), (df, 90))]
+    assert (fits[0].weights == fits[1].weights).all()
+    np.testing.assert_allclose(fits[0].weights, fits[2].weights, rtol=1e-3, atol=1e-4)
+    np.testing.assert_allclose([h[2] for h in fits[0].history], [h[2] for h in fits[2].history], rtol=1e-3)
 
 
 def test_early_stop(spark):
     _, _, df = matrix(spark, n=60)
     noise = df.withColumn("label", F.rand(1))
-    fitted = net.PriceNetwork(net.Settings(hidden=(8,), epochs=60, rate=5e-2, patience=2, shards=2)).fit(noise, noise.withColumn("label", F.rand(9)))
+    fitted = net.PriceNetwork(net.Settings(hidden=(8,), epochs=60, rate=5e-2, patience=2)).fit(noise, noise.withColumn("label", F.rand(9)))
     assert len(fitted.history) < 60 * 3
 
 
 def test_registered_models_have_the_default_sizes(spark):
     forest = queries.CANDIDATES["Random Forest"](None)
     boosted = queries.CANDIDATES["Gradient Boosting"](None)
-    assert (forest.getNumTrees(), forest.getMaxDepth(), boosted.getMaxIter(), boosted.getMaxDepth()) == (200, 15, 300, 6)
+    forest, boosted = forest.settings, boosted.settings
+    assert (forest.trees, forest.depth, boosted.rounds, boosted.depth) == (200, 15, 300, 6)
