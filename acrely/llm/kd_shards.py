@@ -10,9 +10,13 @@ a thousand sums per open node; the tree itself has fewer nodes than two per shar
 A row finds its shard by coming down the tree, a join with the few splits of each level. Slots are
 numbered in blocks of a bounded number of rows, whose offsets are running counts.
 
-Defined cases: a null text has 16 bytes and checksum 0; null metadata counts as the smallest value;
-rows equal in all dimensions, identifier and text stay together; an empty table gives no rows;
-further columns pass through.
+Dimensions may be numbers, dates, times, truth values or texts. Texts are ordered by their first seven bytes, and those
+that agree in them by the hash.
+
+Defined cases: a null text has 16 bytes and checksum 0; null metadata and NaN come before all texts and before zero among
+numbers, dates and times; infinities come last and first; a dimension without an order (a list, a map, a struct) is an
+error; rows equal in all dimensions, identifier and text stay together; an empty table gives no rows; further columns pass
+through, one named like the result gives way.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import (
+    BinaryType, BooleanType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampNTZType, TimestampType,
+)
 
 from acrely.session import cut
 
@@ -31,6 +37,7 @@ CELLS = 1024           # cells a range of values is cut into
 ROW_BYTES = 16         # added to the bytes of every text
 SLOT_ROWS = 4096       # rows of a block that is numbered in one task
 TIE = "tie"
+RESULT = "_shard"
 _BOUND = 2 ** 61       # keys are kept within, so that differences fit a long
 
 
@@ -57,21 +64,41 @@ class Search:
 
 
 def _key(docs: DataFrame, name: str) -> Column:
-    """A whole number that orders the values of a column; texts by their first seven bytes."""
-    if isinstance(docs.schema[name].dataType, StringType):
-        head = F.rpad(F.hex(F.substring(F.col(f"`{name}`").cast("binary"), 1, 7)), 14, "0")
+    """A whole number that orders the values of a column."""
+    column, kind = F.col(f"`{name}`"), docs.schema[name].dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
         number = F.conv(head, 16, 10).cast("long")
+    elif isinstance(kind, (DoubleType, FloatType, DecimalType)):
+        number = _fraction_key(column.cast("double"))
+    elif isinstance(kind, DateType):
+        number = F.unix_date(column).cast("long")
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        number = F.unix_micros(column.cast("timestamp"))
+    elif isinstance(kind, BooleanType):
+        number = column.cast("long")
+    elif isinstance(kind, IntegralType):
+        number = column.cast("long")
     else:
-        number = F.col(f"`{name}`").cast("double").cast("long") if docs.schema[name].dataType.typeName() in (
-            "double", "float", "decimal") else F.col(f"`{name}`").cast("long")
+        raise ValueError(f"{name} is of type {kind.simpleString()}, which has no order to split at")
     return F.greatest(F.least(F.coalesce(number, F.lit(-1)), F.lit(_BOUND)), F.lit(-_BOUND))
 
 
+def _fraction_key(x: Column) -> Column:
+    """A long that rises with the double: the exponent in front of 49 bits of the fraction, as floating point itself is laid
+    out, mirrored below zero. NaN has none."""
+    size = F.abs(x)
+    exponent = F.floor(F.log2(size))
+    place = ((exponent + 1076) * (1 << 49)).cast("long") + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << 49)).cast("long")
+    finite = F.when(size == float("inf"), F.lit(_BOUND)).when(size == 0, F.lit(0)).otherwise(place)
+    return F.when(F.isnan(x), None).otherwise(F.when(x < 0, -finite).otherwise(finite)).cast("long")
+
+
 def keyed(docs: DataFrame, dims: Sequence[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows as `_row`, with size, crc32, the key of every dimension (`k0`, `k1`...) and the tie-breaking hash."""
     body = F.col(f"`{text}`").cast("binary")
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != RESULT]).alias("_row"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("crc32"),
         F.col(f"`{doc_id}`").alias("id"), *[_key(docs, d).alias(f"k{i}") for i, d in enumerate(dims)],
@@ -143,7 +170,7 @@ def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> list[list[tuple]]
     """The splits of every level, from the keyed rows, which are read several times per level."""
     ends = [f(d).alias(f"{n}_{i}") for i, d in enumerate((*dims, TIE)) for n, f in (("lo", F.min), ("hi", F.max))]
     whole = rows.agg(*ends).first()
-    if whole is None or whole["lo_0"] is None:
+    if whole is None or whole[f"lo_{len(dims)}"] is None:
         return []
     spans = [max(1, whole[f"hi_{i}"] - whole[f"lo_{i}"]) for i in range(len(dims))]
     levels, open_, rows = [], {0: shards} if shards > 1 else {}, rows.withColumn("_node", F.lit(0))

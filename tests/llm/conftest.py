@@ -3,7 +3,7 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = "size long, key string, shard string, score string, n long, fp string, h string, a string, body string, kept string, block string"
+CLASHING = "size long, key string, shard string, score string, n long, fp string, h string, a string, body string, kept string, block string, _lang string, _rate string, _shard string, _keeper string, _node string, _row string"
 WORDS = [a + b for a in ("ba", "de", "ki", "lo", "mu", "na", "po", "ra", "su", "ti") for b in ("n", "r", "s", "la", "mo", "ve", "zu", "x")]
 
 
@@ -18,7 +18,7 @@ def frame(spark):
         full = [(r[0], r[1], r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None, None if r[1] is None else len(r[1])) for r in rows]
         if not clashing:
             return spark.createDataFrame(full, SCHEMA)
-        return spark.createDataFrame([(*r, 5, "k", "s", "x", 1, "f", "h", "a", "b", "no", "b") for r in full], f"{SCHEMA}, {CLASHING}")
+        return spark.createDataFrame([(*r, 5, "k", "s", "x", 1, "f", "h", "a", "b", "no", "b", "l", "r", "s", "k", "n", "r") for r in full], f"{SCHEMA}, {CLASHING}")
     return make
 
 
