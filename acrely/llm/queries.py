@@ -87,7 +87,7 @@ def op8_chat_formatting(spark, folder):
     planted = spark.createDataFrame(
         [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return chat_format.digests(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text")))))
+    return chat_format.digests(chat_format.format_turns(turns.withColumn("parts", chat_format.text_part(F.col("text")))))
 
 
 ORACLE["op8_chat_formatting"] = f"""
