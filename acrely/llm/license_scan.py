@@ -30,7 +30,6 @@ from acrely.llm.decontaminate import words
 
 COVERAGE = 0.8   # of the template's words
 DENSITY = 0.6    # of the words between the first and the last aligned one
-GAP = 8          # foreign words a stretch may hold between two template words
 FIELDS = "licenses array<struct<license:string,coverage:double,matched:int,first:int,last:int>>, n_words long"
 
 # Notices by name.
@@ -103,12 +102,12 @@ def align(text: Sequence[bytes], template: Sequence[bytes]) -> list[tuple[int, i
     return sorted(found)
 
 
-def stretches(text: Sequence[bytes], vocabulary: set[bytes]) -> Iterator[tuple[int, int]]:
+def stretches(text: Sequence[bytes], vocabulary: set[bytes], gap: int) -> Iterator[tuple[int, int]]:
     """(first, end) of the runs in which words of the vocabulary follow each other closely."""
     first = last = None
     for i, w in enumerate(text):
         if w in vocabulary:
-            if first is not None and i - last > GAP + 1:
+            if first is not None and i - last > gap + 1:
                 yield first, last + 1
                 first = None
             first, last = i if first is None else first, i
@@ -116,7 +115,7 @@ def stretches(text: Sequence[bytes], vocabulary: set[bytes]) -> Iterator[tuple[i
         yield first, last + 1
 
 
-def windows(text: Sequence[bytes], template: Sequence[bytes], need: int) -> Iterator[tuple[int, int]]:
+def windows(text: Sequence[bytes], template: Sequence[bytes], need: int, density: float = DENSITY) -> Iterator[tuple[int, int]]:
     """(first, end) for each start from which `need` template words or more follow in order and densely: its best end."""
     m, bits = len(template), {}
     for j, w in enumerate(template):
@@ -126,13 +125,13 @@ def windows(text: Sequence[bytes], template: Sequence[bytes], need: int) -> Iter
         if w not in opening:
             continue
         row, end, most = full, 0, 0
-        for at in range(first, min(len(text), first + int(m / DENSITY))):
+        for at in range(first, min(len(text), first + int(m / density))):
             hit = row & bits.get(text[at], 0)
             if not hit:
                 continue
             row = (row + hit | row - hit) & full
             common = m - row.bit_count()
-            if common > most and common >= need and common >= DENSITY * (at + 1 - first):
+            if common > most and common >= need and common >= density * (at + 1 - first):
                 end, most = at + 1, common
         if end:
             yield first, end
@@ -141,8 +140,8 @@ def windows(text: Sequence[bytes], template: Sequence[bytes], need: int) -> Iter
 class Scanner:
     """All templates, ready to be looked for."""
 
-    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE) -> None:
-        self.coverage = coverage
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE, density: float = DENSITY, gap: int | None = None) -> None:
+        self.coverage, self.density, self.gap = coverage, density, gap
         self.templates = {name: words(t.encode()) for name, t in templates.items()}
         self.templates = {name: t for name, t in self.templates.items() if t}
         self.vocabulary = {w for t in self.templates.values() for w in t}
@@ -160,16 +159,17 @@ class Scanner:
         for name, template in self.templates.items():
             if not self._reachable(present, template):
                 continue
-            vocabulary, best = set(template), None
-            for first, end in stretches(text, vocabulary):
+            vocabulary, best, need = set(template), None, self._need(template)
+            gap = int(len(template) / self.density) - need if self.gap is None else self.gap
+            for first, end in stretches(text, vocabulary, gap):
                 part = text[first:end]
                 if not self._reachable(vocabulary.intersection(part), template):
                     continue
-                for start, stop in windows(part, template, self._need(template)):
+                for start, stop in windows(part, template, need, self.density):
                     pairs = align(part[start:stop], template)
                     covered = len(pairs) / len(template)
                     low, high = first + start + pairs[0][0], first + start + pairs[-1][0]
-                    if covered < self.coverage or len(pairs) < DENSITY * (high - low + 1):
+                    if covered < self.coverage or len(pairs) < self.density * (high - low + 1):
                         continue
                     if best is None or (covered, low - high) > (best["coverage"], best["first"] - best["last"]):
                         best = {"license": name, "coverage": covered, "matched": len(pairs), "first": low, "last": high}
@@ -181,14 +181,19 @@ class Scanner:
 
 def scan_licenses(
     docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text: str = "text", into: str = "_scan",
-    keep: Sequence[str] | None = None, coverage: float = COVERAGE,
+    keep: Sequence[str] | None = None, coverage: float = COVERAGE, density: float = DENSITY, gap: int | None = None,
 ) -> DataFrame:
-    """`docs` with the struct column `into`: licenses (name, coverage, aligned words, first and last of them), n_words."""
+    """`docs` with the struct column `into`: licenses (name, coverage, aligned words, first and last of them), n_words.
+
+    A notice is found if at least the share `coverage` of its words is aligned, if at least the share `density` of the words
+    from the first to the last aligned one is, and if nowhere more than `gap` words in a row are foreign to the notice
+    (by default as many as the density admits).
+    """
     shape = pa.list_(pa.struct([
         ("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def start():
-        scanner = Scanner(templates, coverage)
+        scanner = Scanner(templates, coverage, density, gap)
 
         def work(texts):
             found = [scanner.scan(t) for t in texts]

@@ -102,3 +102,42 @@ def test_odd_rows(frame, odd_rows):
     assert found.drop("_scan").columns == docs.columns and found.count() == len(odd_rows)
     assert all(r._scan.licenses == [] for r in found.collect())
     assert license_scan.scan_licenses(frame([])).count() == 0
+
+
+def test_foreign_words_in_the_middle_up_to_the_limits():
+    """Density and gap decide, and nothing else: one word more than they admit and the notice is not found."""
+    notice = license_scan.TEMPLATES["gpl-3.0-notice"].split()
+    n = len(license_scan.words(" ".join(notice).encode()))
+    admitted = int(n / license_scan.DENSITY) - n
+
+    def found(foreign, **how):
+        text = " ".join([*notice[:15], *[f"zq{i}" for i in range(foreign)], *notice[15:]]).encode()
+        names = [f["license"] for f in license_scan.Scanner(license_scan.TEMPLATES, **how).scan(text)[0]]
+        return "gpl-3.0-notice" in names
+
+    assert admitted > 9 and all(found(k) for k in (0, 8, 9, admitted)) and not found(admitted + 1)
+    assert found(9, gap=9) and not found(10, gap=9)
+    assert found(admitted + 5, density=0.4)
+
+
+FULL = " ".join("""
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""".split())
+
+
+def test_a_full_text_edited_and_embedded(frame):
+    """A licence of many sentences with words changed, left out and put in, inside prose, is found; its first half is not."""
+    rng, words = random.Random(4), FULL.split()
+    edited = [w for i, w in enumerate(words) if i % 11] + ["indeed"] * 3
+    for i in range(0, len(edited), 17):
+        edited[i] = "whatever"
+    rows = [(1, FULL), (2, f"{prose(rng, 300)} {FULL.upper()} {prose(rng, 300)}"), (3, f"{prose(rng, 50)} {' '.join(edited)} {prose(rng, 50)}"),
+            (4, " ".join(words[:len(words) // 2])), (5, prose(rng, 500))]
+    found = license_scan.scan_licenses(frame(rows), {"full": FULL}, keep=["doc_id"]).collect()
+    hits = {r.doc_id: r._scan.licenses for r in found}
+    assert [bool(hits[i]) for i in (1, 2, 3, 4, 5)] == [True, True, True, False, False]
+    assert hits[1][0].coverage == 1.0 and hits[2][0].first == 300 and hits[2][0].last == 299 + hits[1][0].matched
