@@ -7,10 +7,11 @@ the items that hold its last window. A window is 13 consecutive words of an item
 words is one window itself.
 
 The items are cut into blocks of a bounded number of words, one automaton each. An automaton is the
-only thing that is broadcast. More items mean more passes, not a larger broadcast.
+only thing that is broadcast, one at a time: each further block is another pass over the documents, whose hits are
+written, and the hits of a row are put together in the end.
 
 Defined cases: a null or wordless text has no words and no hits; null items and items without words
-have no window; equal items all count; repeated documents are judged one by one; an empty benchmark
+have no window; an item without an identifier is named by the empty text; equal items all count; repeated documents are judged one by one; an empty benchmark
 marks nothing.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acrely.llm.common import append
+from acrely.session import cut
 
 WINDOW = 13
 BLOCK_WORDS = 100_000  # item words of one automaton
@@ -182,43 +184,72 @@ def without(text: bytes, spans: Sequence[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterable[list[tuple[str, bytes]]]:
-    """The items in blocks of about `block_words` words: the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[DataFrame]:
+    """The items (item, body) in blocks of about `block_words` words."""
     items = benchmark.filter(F.col(text).isNotNull()).select(
         F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("body"))
     chars = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-chars // (block_words * 4)))  # a word and its blank take four bytes or more as a rule
-    for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k)
-        yield [(r.item or "", bytes(r.body)) for r in part.toLocalIterator()]
+    return [items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k) for k in range(blocks)]
 
 
-def annotate(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "_found", keep: Sequence[str] | None = None,
-) -> DataFrame:
-    """`docs` with the struct column `into`: n_words, items, spans (first and last hit word), n_hit."""
-    spark = docs.sparkSession
-    parts = [
-        spark.sparkContext.broadcast(Automaton(((i, words(t)) for i, t in block), window))
-        for block in _blocks(benchmark, item_id, item_text, block_words)]
-    pair = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def _pass(docs: DataFrame, block: DataFrame, text: str, window: int, into: str, keep: Sequence[str] | None) -> tuple[DataFrame, object]:
+    """One pass over the documents with the automaton of one block of items, and the broadcast that holds it."""
+    automaton = docs.sparkSession.sparkContext.broadcast(
+        Automaton(((r.item or "", words(bytes(r.body))) for r in block.toLocalIterator()), window))
 
     def start():
-        automata = [p.value for p in parts]
+        scan = automaton.value.scan
 
         def work(texts):
-            counts, items, spans = [], [], []
-            for text_ in texts:
-                found = [a.scan(text_) for a in automata]
-                counts.append(found[0][0])
-                items.append(found[0][1] if len(found) == 1 else sorted({x for f in found for x in f[1]}))
-                together = found[0][2] if len(found) == 1 else merged(s for f in found for s in f[2])
-                spans.append([{"first": a, "last": b} for a, b in together])
-            return [pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pair))]
+            found = [scan(t) for t in texts]
+            spans = [[{"first": a, "last": b} for a, b in f[2]] for f in found]
+            return [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array(spans, SPANS)]
         return work
 
-    found = append(docs, text, start, FIELDS, into, keep)
+    return append(docs, text, start, FIELDS, into, keep), automaton
+
+
+def _in_passes(docs: DataFrame, blocks: list[DataFrame], text: str, window: int, into: str) -> DataFrame:
+    """A pass per block, written before the next begins, so one automaton is held at a time. Hits of a row are put together at the end."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    bodies, hits = rows.select("at", F.col("row")[text].alias("body")), None
+    for block in blocks:
+        found, automaton = _pass(bodies, block, "body", window, "f", ["at"])
+        mine = cut(found.filter(F.size("f.spans") > 0) if hits is not None else found)  # the first also tells the words of every row
+        automaton.destroy()
+        hits = mine if hits is None else hits.unionByName(mine)
+    per_row = hits.groupBy("at").agg(
+        F.max("f.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f.items")))).alias("items"),
+        F.flatten(F.collect_list("f.spans")).alias("spans"))
+
+    def together(batches):
+        for batch in batches:
+            spans = [[{"first": a, "last": b} for a, b in merged((x["first"], x["last"]) for x in s)] for s in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(
+                [batch.column(1), batch.column(2), pa.array(spans, SPANS)], names=["n_words", "items", "spans"])], names=["at", into])
+
+    return rows.join(per_row.mapInArrow(together, f"at long, {into} struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>"), "at").select("row.*", into)
+
+
+def annotate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "_found", keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """`docs` with the struct column `into`: n_words, items, spans (first and last hit word), n_hit.
+
+    Items of more than about `block_words` words in all take a pass over the documents for each block of that size.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    blocks = _blocks(benchmark, item_id, item_text, block_words)
+    if len(blocks) == 1:
+        found, _ = _pass(docs, blocks[0], text, window, into, kept)
+    else:
+        found = _in_passes(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]), blocks, text, window, into).select(
+            *[F.col(f"`{c}`") for c in kept], into)
     hit = F.aggregate(f"{into}.spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.withColumn(into, F.col(into).withField("n_hit", hit))
 

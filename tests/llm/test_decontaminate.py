@@ -61,6 +61,29 @@ def test_odd_rows(spark, frame, odd_rows):
     assert (by_id[12].n_words, by_id[12].n_hit, [tuple(s) for s in by_id[12].spans]) == (3, 2, [(1, 2)])
 
 
+def test_one_automaton_is_held_at_a_time(spark, frame, odd_rows, monkeypatch):
+    items, rows = corpus(5)
+    rows += odd_rows
+    held, most = set(), []
+    make = decontaminate._pass
+
+    def one_pass(docs, block, *more):
+        found, automaton = make(docs, block, *more)
+        held.add(automaton)
+        most.append(len(held))
+        destroy = automaton.destroy
+        automaton.destroy = lambda *a, **b: (held.discard(automaton), destroy(*a, **b))
+        return found, automaton
+
+    whole = decontaminate.annotate(frame(rows), bench(spark, items), window=4)
+    monkeypatch.setattr(decontaminate, "_pass", one_pass)
+    parts = decontaminate.annotate(frame(rows), bench(spark, items), window=4, block_words=15)
+    assert len(most) > 3 and max(most) == 1 and not held
+    assert parts.columns == whole.columns and sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    narrow = decontaminate.annotate(frame(rows), bench(spark, items), window=4, block_words=15, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "_found"] and narrow.count() == len(rows)
+
+
 def test_empty_tables(spark, frame):
     assert decontaminate.annotate(frame([]), bench(spark, [(1, "a b")])).count() == 0
     found = decontaminate.annotate(frame([(1, "a b")]), bench(spark, [])).first()._found
