@@ -10,8 +10,9 @@ The fit reads a sample of `PER_LANGUAGE` labelled rows (expected) of every langu
 identifier; whole texts are read, and prediction reads every row.
 
 Defined cases: a null text and a text without letters is `und` with score 0; without any labelled
-row everything is; with one language that language is certain; rows with a null identifier are in
-fold 0; repeated rows are predicted one by one; further columns pass through.
+row everything is; with one language that language is certain; a language is learnt from one row if it has no
+more; rows with a null identifier are in fold 0; repeated rows are predicted one by one; further columns pass through, one
+named like the result gives way.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BUCKETS = 1 << 16       # of hashed n-grams
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 7          # languages up to which every way to halve them is a bit
 CHUNK = 200_000         # characters that are scored at a time
+LANES = 32              # of count tables that are added up first
 MOST_LANGUAGES = 2_000  # a table with more labels than this is refused
 AMBIGUOUS = 0.02         # distance between the best two scores below which an answer is flagged
 FIELDS = "lang_pred string, score double, ambiguous boolean"
@@ -146,7 +148,9 @@ def _count(sample: DataFrame) -> dict[str, np.ndarray]:
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [total.tobytes()]})
 
     parts = sample.select("lang", "body").mapInArrow(local, "lang string, counts binary")
-    return {r.lang: np.frombuffer(r.counts, np.int64) for r in parts.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}
+    # Lanes first: a table of fixed size comes from every task, and no task adds up those of all tasks.
+    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES))).groupBy("lang", "lane").applyInPandas(add, "lang string, counts binary")
+    return {r.lang: np.frombuffer(r.counts, np.int64) for r in lanes.groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()}
 
 
 def fit(
@@ -154,19 +158,21 @@ def fit(
     per_language: int = PER_LANGUAGE,
 ) -> Model:
     """Learn from the rows for which `learn` holds and the language is known."""
-    known = docs.filter(learn & F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("_lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_rate"))
+    # Only what is needed, under names of its own: the table may have columns of any name.
+    known = docs.filter(learn & F.col(f"`{lang}`").isNotNull()).select(
+        F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("binary").alias("body"))
+    counts = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate"))
     rates = counts.limit(MOST_LANGUAGES + 1).collect()
     if len(rates) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, counts.schema))
-    chance = F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(rates, F.col(lang) == F.col("_lang")).filter(chance < F.col("_rate")).select(
-        F.col(lang).alias("lang"), F.col(text).cast("binary").alias("body"),
-        (F.pmod(F.xxhash64(F.col(doc_id), F.lit(11)), F.lit(5)) == 0).alias("aside"))
+    shares = F.broadcast(docs.sparkSession.createDataFrame(rates, counts.schema))
+    chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(shares, "lang").filter(chance < F.col("rate")).select(
+        "lang", "body", (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(5)) == 0).alias("aside"))
     counted = _count(sample.filter(~F.col("aside")))
-    if not counted:
-        counted = _count(sample)
+    # A language whose rows are all among those set aside is learnt from these.
+    if rare := sorted({r["lang"] for r in rates} - set(counted)):
+        counted |= _count(sample.filter(F.col("lang").isin(rare)))
     languages = sorted(counted)
     code = codewords(len(languages))
     model = Model(languages, code, np.zeros((BUCKETS, 0), np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))

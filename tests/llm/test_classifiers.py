@@ -41,6 +41,40 @@ def test_held_out_languages(frame):
     assert all(0 <= r._lang.score <= 1 for r in found)
 
 
+def test_every_language_is_learnt_however_rare(frame):
+    """Also one whose only row hashes into the part set aside; texts of single rows are told apart."""
+    rng = random.Random(6)
+    names = [f"l{i}" for i in range(30)]
+    letters = {k: "".join(chr(0x4E00 + 40 * i + j) for j in range(40)) for i, k in enumerate(names)}
+    rows = [(4 * i, " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(30)), k) for i, k in enumerate(names)]
+    docs = frame(rows)
+    model = language_id.fit(docs, F.lit(True))
+    assert model.languages == sorted(names)
+    assert sum(r._lang.lang_pred == r.lang for r in language_id.identify(docs, model).collect()) >= 28
+
+
+def test_own_output_and_own_names_as_input(frame, odd_rows):
+    docs = frame(odd_rows)
+    model = language_id.fit(docs, language_id.training_rows())
+    once = language_id.identify(docs, model)
+    again = language_id.identify(once, language_id.fit(once, language_id.training_rows()))
+    assert again.columns == once.columns and sorted(map(repr, again.collect())) == sorted(map(repr, once.collect()))
+
+
+def test_decoding_equals_trying_every_codeword():
+    """The codeword with the smallest weighted loss, by hand over all of them; a runner-up almost as near is flagged."""
+    rng = np.random.default_rng(8)
+    code = language_id.codewords(6)
+    bits = code.shape[1]
+    model = language_id.Model([f"l{i}" for i in range(6)], code, rng.normal(size=(language_id.BUCKETS, bits)).astype(np.float32) / 4,
+                              rng.uniform(0.5, 2, bits), rng.uniform(0.1, 3, bits))
+    for k in range(40):
+        text = "".join(rng.choice(list("abcdefghij klmno"), 30)).encode()
+        margins = model.margins(text)
+        losses = [sum(model.trust[b] * np.log1p(np.exp(-3.0 * code[i, b] * margins[b] / model.scale[b])) for b in range(bits)) for i in range(6)]
+        assert model.predict(text)[0] == f"l{int(np.argmin(losses))}"
+
+
 def test_labels_outside_the_fit_do_not_matter(frame):
     rng = random.Random(2)
     rows = [(i, speak(rng, lang, 20), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], k=200))]
@@ -58,7 +92,7 @@ def test_a_text_between_two_languages_is_flagged():
 def test_languages_of_odd_rows(spark, frame, odd_rows):
     docs = frame(odd_rows)
     found = language_id.identify(docs, language_id.fit(docs, language_id.training_rows()))
-    assert found.drop("_lang").columns == docs.columns and found.count() == len(odd_rows)
+    assert found.columns == [*[c for c in docs.columns if c != "_lang"], "_lang"] and found.count() == len(odd_rows)
     for r in found.collect():
         letters = any(c.isalpha() for c in r.text or "")
         assert (r._lang.lang_pred == "und") == (not letters)
