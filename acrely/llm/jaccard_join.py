@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from acrely.llm.common import append
 from acrely.llm.graph import merge
@@ -366,10 +367,10 @@ def _open(meetings: DataFrame, labels: DataFrame) -> DataFrame:
     """
     linked = labels.filter(F.col("component") != F.col("id")).withColumnRenamed("component", "_c")
     held = meetings.join(linked, "id", "left").select("h", "id", "n", "pos", F.coalesce("_c", "id").alias("component"))
-    there = Window.partitionBy("h")
-    seen = held.withColumns({
-        "crowd": F.count("*").over(there), "_lo": F.min("component").over(there), "_hi": F.max("component").over(there)})
-    return cut(seen.filter(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi"))
+    held = cut(held)
+    # Counted with map-side sums and joined back, so that no task buffers the rows of a shingle; Spark splits a join's hot keys.
+    met = held.groupBy("h").agg(F.count("*").alias("crowd"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    return cut(held.join(met.filter(F.col("_lo") != F.col("_hi")).select("h", "crowd"), "h"))
 
 
 def _small_crowds(rows: DataFrame, tried: DataFrame) -> DataFrame:
@@ -502,6 +503,12 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest identifier reachable over links."""
+    return _grouped(docs, doc_id, text, sketch_bits).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n, fp, component, name) per document: its class, the key of its component, and the component's name. Two
+    components may have one name, where identifiers repeat; the key tells them apart. It is null without shingles."""
     profile = _profile(docs, doc_id, text, sketch_bits)
     members = profile.filter(F.col("n").isNotNull()).select("doc_id", F.col("n").cast("int").alias("n"), "fp")
     met = _meetings(_prefixes(docs, text, _sketch(profile, sketch_bits), sketch_bits))
@@ -526,21 +533,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     grouped = classes.select("id", "n", "fp", "rep").join(labels, "id")
     names = grouped.groupBy("component").agg(F.min("rep").alias("name"))
-    named = grouped.join(names, "component").select("n", "fp", "name")
-    of_class = reps.join(named, ["n", "fp"], "left").select("n", "fp", F.coalesce("name", "rep").alias("name"))
-    found = members.filter(F.col("n") > 0).join(of_class, ["n", "fp"]).select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("name").alias("component_id"))
+    named = grouped.join(names, "component").select("n", "fp", "component", "name")
+    # A class that meets no other is its own component, known by its size and hash; the others by 0 and their number.
+    linked = F.struct(F.lit(0).alias("n"), F.col("component").alias("fp"))
+    own = F.when(F.col("component").isNotNull(), linked).otherwise(F.struct("n", "fp"))
+    of_class = reps.join(named, ["n", "fp"], "left").select(
+        "n", "fp", own.alias("component"), F.coalesce("name", "rep").alias("name"))
+    found = members.filter(F.col("n") > 0).join(of_class, ["n", "fp"]).select("doc_id", "n", "fp", "component", "name")
     alone = members.filter(F.col("n") == 0).select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        "doc_id", "n", "fp", F.lit(None).cast("struct<n:int,fp:long>").alias("component"), F.col("doc_id").alias("name"))
     return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of every component: that of the smallest identifier.
+    """`docs` with one row of every component: that of the smallest identifier, among rows with this identifier that of the
+    smallest class. Rows are known by identifier and class, so a repeated identifier with another text is another document.
 
-    Rows without an identifier cannot be told apart and stay.
+    Documents without shingles are alone and all stay, rows without an identifier cannot be told apart and stay.
     """
-    found = near_duplicates(docs, doc_id, text)
-    keepers = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keeper")).distinct()
-    named = docs.filter(F.col(doc_id).isNotNull()).join(keepers, F.col(doc_id) == F.col("_keeper"), "left_semi")
-    return named.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
+    found = cut(_grouped(docs, doc_id, text).drop("name").filter(F.col("doc_id").isNotNull()))
+    best = found.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "n", "fp")).alias("k"))
+    keepers = cut(best.select("k.*").unionByName(found.filter(F.col("component").isNull()).select("doc_id", "n", "fp").distinct()))
+    # Only rows whose identifier repeats have to be asked for their class again.
+    repeated = cut(found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id"))
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
+    without_id, named = whole.filter(F.col("doc_id").isNull()), whole.filter(F.col("doc_id").isNotNull())
+    single = named.join(repeated, "doc_id", "left_anti").join(keepers, "doc_id", "left_semi")
+    doubtful = named.join(repeated, "doc_id", "left_semi")
+
+    def classed(batches):
+        for batch in batches:
+            sets = [shingles(b) for b in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_hash(x) for x in sets], pa.int64())],
+                names=["row", "doc_id", "n", "fp"])
+
+    schema = StructType([*doubtful.schema.fields[:2], StructField("n", IntegerType()), StructField("fp", LongType())])
+    chosen = doubtful.mapInArrow(classed, schema).join(keepers, ["doc_id", "n", "fp"], "left_semi")
+    once = chosen.filter("n > 0").dropDuplicates(["doc_id", "n", "fp"]).unionByName(chosen.filter("n = 0"))
+    return single.select("row").unionByName(once.select("row")).unionByName(without_id.select("row")).select("row.*")

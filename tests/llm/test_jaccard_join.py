@@ -80,8 +80,24 @@ def test_one_row_of_each_component_stays(frame, odd_rows):
     docs = frame(odd_rows)
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == [1, 2, 3, 4, 5, 7, 9, 11, 12]
+    rows = kept.collect()
+    ids = sorted(r.doc_id for r in rows if r.doc_id is not None)
+    assert ids == [1, 2, 3, 4, 5, 7, 9, 11, 11, 12]  # two texts share identifier 11 and are documents of their own
+    assert sum(r.doc_id is None for r in rows) == 2
+
+
+def test_repeated_identifiers_keep_unrelated_texts(frame):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    kept = jaccard_join.keep_one(frame([(11, a), (11, b), (12, c)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(11, a), (11, b), (12, c)])
+    near, far = a + " more words", prose(rng, 80)
+    rows = [(11, a), (11, a), (11, near), (11, far), (13, a), (14, far + " end"), (11, ""), (11, ""), (9, b), (11, b + " end")]
+    found = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(rows)).collect()]
+    assert sorted(t for i, t in found if t not in (a, near)) == sorted([far, "", "", b])
+    assert [i for i, t in found if t in (a, near)] == [11] and (9, b) in found
+    again = jaccard_join.keep_one(jaccard_join.keep_one(frame(rows)))
+    assert sorted((r.doc_id, r.text) for r in again.collect()) == sorted(found)
 
 
 def test_empty_table(frame):
