@@ -21,7 +21,7 @@ from acrely.plans.stored import LineUp
 from acrely.plans.requests import customer_requests, newest_per_city_and_type
 from acrely.session import cut, fresh_dir, prepare
 from acrely.sources import files, pages, tables
-from acrely.streaming import jobs
+from acrely.streaming import closing, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,6 +63,38 @@ def csv_roundtrip(spark, d):
     return files.read_listings_csv(spark, path)
 
 
+def _sorted_out(checked, key, value, key_in_text):
+    """Readable rows and rejected ones of a checked table, by the identifier that is still legible in the text."""
+    good, rejected = files.quarantined(checked)
+    return good.select(key, F.lit(1).alias("readable"), value).unionByName(
+        rejected.select(key_in_text.alias(key), F.lit(0).alias("readable"), F.lit(None).cast("double").alias(value)))
+
+
+@query
+def csv_quarantine(spark, d):
+    """Listings from files in which some cells are no numbers and some rows are cut short."""
+    path = fresh_dir(spark, "damaged")
+    listings = tables.listings(spark, d).select(*S.LISTING_COLUMNS)
+    part = F.element_at(F.split("property_id", "-"), 3).cast("long") % 9
+    area = F.when(part == 4, F.lit("n/a")).otherwise(F.col("area_sqft").cast("string"))
+    listings.filter(part != 5).withColumn("area_sqft", area).write.option("header", True).csv(path)
+    listings.filter(part == 5).select("property_id", "city").write.mode("append").option("header", True).csv(path)
+    return _sorted_out(files.read_checked(spark, path), "property_id", "price", F.split(files.CORRUPT, ",")[0])
+
+
+@query
+def request_quarantine(spark, d):
+    """Requests as JSON lines, some with a word for a price and some cut off."""
+    path = fresh_dir(spark, "requests")
+    requests = customer_requests(tables.table(spark, d, "customer")).select("request_id", "city", "area_sqft", "price")
+    key = F.substring("request_id", 2, 18).cast("long") % 11
+    line = F.to_json(F.struct("request_id", "city", "area_sqft", F.when(key == 3, F.lit("much")).alias("price")))
+    whole = F.when(key == 3, line).otherwise(F.to_json(F.struct("request_id", "city", "area_sqft", "price")))
+    requests.select(F.when(key == 5, F.substring(whole, 1, 40)).otherwise(whole).alias("value")).write.text(path)
+    checked = files.read_checked(spark, path, requests.schema, "json")
+    return _sorted_out(checked, "request_id", "price", F.regexp_extract(files.CORRUPT, '"request_id":"(C[0-9]+)"', 1))
+
+
 @query
 def partitioned_sink(spark, d):
     path = fresh_dir(spark, "enriched")
@@ -959,6 +991,56 @@ def _arriving(spark, d, name, pieces=4):
     return jobs.follow(spark, path, "*.parquet", files_per_batch=1)
 
 
+LATENESS_HOURS = 48
+
+
+def _arriving_late(spark, rows, at, name, pieces=5):
+    """Rows as files that arrive one after the other, every row up to `LATENESS_HOURS` after its time."""
+    path = fresh_dir(spark, f"{name}-arriving")
+    delay = F.pmod(F.xxhash64(*rows.columns), F.lit(LATENESS_HOURS * 3600))
+    timed = cut(rows.withColumn("_arrives", F.unix_seconds(F.col(at).cast("timestamp")) + delay))
+    first, last = timed.agg(F.min("_arrives"), F.max("_arrives")).first()
+    piece = F.floor((F.col("_arrives") - F.lit(first)) * pieces / F.lit((last or 0) - (first or 0) + 1))
+    for i in range(pieces):
+        timed.filter(piece == i).drop("_arrives").write.mode("append").parquet(path)
+    return jobs.follow(spark, path, "*.parquet", files_per_batch=4)
+
+
+@query
+def stream_final_counts(spark, d):
+    """Windows that are closed for good, from events that arrive out of order."""
+    out, state = _folders(spark, "final")
+    arriving = _arriving_late(spark, tables.table(spark, d, "events"), "ts", "final")
+    with closing.disk_state(spark):
+        jobs.finish(closing.final_counts(arriving, out, state, f"{LATENESS_HOURS} hours"))
+    return spark.read.parquet(out)
+
+
+@query
+def stream_closed_sessions(spark, d):
+    """Sessions that have expired, from events that arrive out of order."""
+    out, state = _folders(spark, "closed")
+    arriving = _arriving_late(spark, tables.table(spark, d, "events"), "ts", "closed")
+    with closing.disk_state(spark):
+        jobs.finish(closing.closed_sessions(arriving, out, state, f"{LATENESS_HOURS} hours"))
+    return spark.read.parquet(out)
+
+
+@query
+def stream_booking_redelivered(spark, d):
+    """Booked edits per property from a feed that delivers every edit twice."""
+    out, state = _folders(spark, "redelivered")
+    lines = tables.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
+    twice = lines.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    arriving = _arriving_late(spark, twice, "l_shipdate", "redelivered")
+    edits = tables.status_edits(arriving, "l_linenumber", "l_suppkey").filter(F.col("status") == "booked")
+    keys = ["property_id", "enquiry_id", "l_linenumber", "l_suppkey", "edited_at"]
+    with closing.disk_state(spark):
+        jobs.finish(closing.append_once(edits, keys, "edited_at", out, state, f"{LATENESS_HOURS} hours"))
+    return spark.read.parquet(out).groupBy("property_id").agg(F.count("*").alias("booked_edits"))
+
+
 @query
 def stream_event_counts(spark, d):
     out, state = _folders(spark, "events")

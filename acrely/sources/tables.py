@@ -158,8 +158,8 @@ def enquiries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def status_edits(lines: DataFrame) -> DataFrame:
-    """Every line item as one edit of an enquiry's status."""
+def status_edits(lines: DataFrame, *keep: str) -> DataFrame:
+    """Every line item as one edit of an enquiry's status; columns in `keep` stay."""
     status = (
         F.when(F.col("l_returnflag") == "R", "booked")
         .when(F.col("l_returnflag") == "A", "negotiation").otherwise("contacted")
@@ -169,6 +169,7 @@ def status_edits(lines: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("enquiry_id"),
         status.alias("status"),
         F.col("l_shipdate").cast("timestamp").alias("edited_at"),
+        *keep,
     )
 
 

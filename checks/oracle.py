@@ -367,6 +367,10 @@ SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTIT
 ORACLE: dict[str, str] = {
     "listings_scan": f"WITH {LISTINGS} SELECT * EXCLUDE (amenities_count) FROM listings",
     "csv_roundtrip": f"WITH {LISTINGS} SELECT * EXCLUDE (amenities_count, listed_at) FROM listings",
+    "csv_quarantine": f"""WITH {LISTINGS}, k AS (SELECT property_id, price, string_split(property_id, '-')[3]::BIGINT % 9 IN (4, 5) AS bad FROM listings)
+        SELECT property_id, CASE WHEN bad THEN 0 ELSE 1 END::INTEGER AS readable, CASE WHEN NOT bad THEN price END AS price FROM k""",
+    "request_quarantine": """SELECT 'C' || c_custkey AS request_id, CASE WHEN c_custkey % 11 IN (3, 5) THEN 0 ELSE 1 END::INTEGER AS readable,
+        CASE WHEN c_custkey % 11 NOT IN (3, 5) AND c_custkey % 10 <> 0 THEN 1e6::DOUBLE + c_custkey % 97 * 1e5::DOUBLE END AS price FROM customer""",
     "partitioned_sink": f"WITH {ENRICHED} SELECT city, property_age_group, count(*) AS listings, {r('sum(value_score)', 2)} AS value_score_sum FROM enriched GROUP BY ALL",
     "anomaly_sink": f"WITH {FLAGGED} SELECT property_id, anomaly_reason, price FROM flagged WHERE anomaly_flag = 1",
     "inventory_by_id_scan": f"WITH {INVENTORY} SELECT property_id, total_units, available_units, construction_status, price_max, len(unit_types)::INTEGER AS unit_types FROM inventory",
@@ -555,6 +559,10 @@ ORACLE: dict[str, str] = {
     "metrics_file": f"WITH {RIVALS} SELECT model, metric, value FROM (UNPIVOT scored ON r2, rmse, mae, mape INTO NAME metric VALUE value)",
     "best_model_argmax": f"WITH {RIVALS} SELECT * FROM scored ORDER BY r2 DESC, position LIMIT 1",
     "stream_event_counts": TUMBLING,
+    "stream_final_counts": f"SELECT * FROM ({TUMBLING}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR",
+    "stream_closed_sessions": f"""SELECT * FROM ({SESSIONS})
+        WHERE last_event + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR""",
+    "stream_booking_redelivered": "SELECT 'P' || l_partkey AS property_id, count(*) AS booked_edits FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1",
     "stream_event_counts_sliding": SLIDING,
     "stream_login_state": LOGINS,
     "stream_booking": f"""{BOOKED} SELECT property_id, CAST(booked_units + coalesce(n_enquiries, 0) AS INTEGER) AS booked_units,

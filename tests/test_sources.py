@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from acrely.schema import LISTING
+from acrely.schema import LISTING, REQUEST
 from acrely.sources import files, pages
 
 
@@ -56,3 +56,28 @@ def test_page_facts(spark):
     rows = [(1, "https://a.example:8080/x", "<html><title> T </title><h1>H</h1>" + "x" * 50_000), (2, "bad", "")]
     got = pages.page_facts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert tuple(got[0]) == (1, "T", "H", "a.example") and tuple(got[1]) == (2, "", "", "")
+
+
+def test_rows_that_do_not_fit_go_to_quarantine(spark, tmp_path):
+    head = ",".join(LISTING.names)
+    fine = 'L1,Pune,"Baner, West",Villa,2,1,900.0,NaN,,3.0,a|b,7.0,100.5,90450.0'
+    bad = ["L2,Pune,Baner,Villa,two,1,900.0,1,2,3.0,a|b,7.0,100.5,90450.0", "L3,Pune", fine.replace("L1", "L4") + ",more", "??"]
+    (tmp_path / "l.csv").write_text("\n".join([head, fine, *bad, fine.replace("L1", "L5"), ""]))
+    good, rejected = files.quarantined(files.read_checked(spark, str(tmp_path / "l.csv")))
+    assert good.schema.simpleString() == LISTING.simpleString()
+    assert {r.property_id: (r.age_years, r.locality) for r in good.collect()} == {"L1": (None, "Baner, West"), "L5": (None, "Baner, West")}
+    assert {r[0] for r in rejected.collect()} == set(bad)
+
+
+def test_json_lines_that_do_not_fit_go_to_quarantine(spark, tmp_path):
+    lines = ['{"city": "Pune", "price": 5.5}', '{"city": "Pune", "price": "much"}', '{"city": "Pu', "17", '{"city": null}', "", "[]"]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    good, rejected = files.quarantined(files.read_checked(spark, str(tmp_path / "r.json"), REQUEST, "json"))
+    assert sorted((r.city or "-", r.price or 0) for r in good.collect()) == [("-", 0), ("Pune", 5.5)]
+    assert {r[0] for r in rejected.collect()} == set(lines[1:4])
+
+
+def test_a_file_without_rows_has_nothing_to_quarantine(spark, tmp_path):
+    (tmp_path / "l.csv").write_text(",".join(LISTING.names) + "\n")
+    good, rejected = files.quarantined(files.read_checked(spark, str(tmp_path / "l.csv")))
+    assert good.isEmpty() and rejected.isEmpty()
