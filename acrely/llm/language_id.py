@@ -35,6 +35,7 @@ BUCKETS = 1 << 16       # of hashed n-grams
 ORDERS = (1, 2, 3)
 EXHAUSTIVE = 7          # languages up to which every way to halve them is a bit
 CHUNK = 200_000         # characters that are scored at a time
+LOOKUP = 8192           # n-grams whose weights are looked up at a time
 LANES = 32              # of count tables that are added up first
 MOST_LANGUAGES = 2_000  # a table with more labels than this is refused
 AMBIGUOUS = 0.02         # distance between the best two scores below which an answer is flagged
@@ -102,7 +103,8 @@ class Model:
         total, seen = np.zeros(self.code.shape[1]), 0
         for at in range(0, len(points), CHUNK):
             grams = buckets(points[at:at + CHUNK])
-            total += self.weights[grams].sum(axis=0, dtype=np.float64)
+            for i in range(0, len(grams), LOOKUP):
+                total += self.weights[grams[i:i + LOOKUP]].sum(axis=0, dtype=np.float64)
             seen += len(grams)
         return total / seen
 
