@@ -166,39 +166,40 @@ def _settle(search: Search, below: float, bytes_: float, tie: int) -> None:
     search.done = True
 
 
-def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> list[list[tuple]]:
-    """The splits of every level, from the keyed rows, which are read several times per level."""
+def grow(rows: DataFrame, dims: Sequence[str], shards: int) -> tuple[list[list[tuple]], DataFrame]:
+    """The splits of every level, and the keyed rows with the shard `_node` they come down to. The rows are read several
+    times per level."""
     ends = [f(d).alias(f"{n}_{i}") for i, d in enumerate((*dims, TIE)) for n, f in (("lo", F.min), ("hi", F.max))]
     whole = rows.agg(*ends).first()
     if whole is None or whole[f"lo_{len(dims)}"] is None:
-        return []
+        return [], rows.withColumn("_node", F.lit(0))
     spans = [max(1, whole[f"hi_{i}"] - whole[f"lo_{i}"]) for i in range(len(dims))]
     levels, open_, rows = [], {0: shards} if shards > 1 else {}, rows.withColumn("_node", F.lit(0))
     while open_:
         # A level is written, so all levels run the same generated code.
         rows = cut(_down(rows, levels[-1], dims) if levels else rows)
-        here = rows.join(_few(rows.sparkSession, [(f,) for f in open_], "_node int"), "_node")
         searches = []
-        for s in here.groupBy("_node").agg(F.sum("size").alias("bytes"), *ends).collect():
-            leaves = open_[s["_node"]]
+        for s in rows.groupBy("_node").agg(F.sum("size").alias("bytes"), *ends).collect():  # a row per node
+            if (leaves := open_.get(s["_node"])) is None:
+                continue
             width, dim = max(((s[f"hi_{i}"] - s[f"lo_{i}"]) / spans[i], -i) for i in range(len(dims)))
             dim = -dim if width > 0 else len(dims)
             searches.append(Search(
                 s["_node"], leaves, s["bytes"] * (leaves // 2) / leaves, dim, s[f"lo_{dim}"], s[f"hi_{dim}"], dim == len(dims)))
         while running := [s for s in searches if not s.done]:
-            _count_cells(here, running, dims)
+            _count_cells(rows, running, dims)
         levels.append([(s.first, s.dim, s.value or 0, s.tie, s.first + s.leaves // 2) for s in searches])
         halves = [(f, n) for s in searches for f, n in ((s.first, s.leaves // 2), (s.first + s.leaves // 2, s.leaves - s.leaves // 2))]
         open_ = {f: n for f, n in halves if n > 1}
-    return levels
+    return levels, cut(_down(rows, levels[-1], dims)) if levels else rows
 
 
-def _count_cells(here: DataFrame, running: list[Search], dims: Sequence[str]) -> None:
-    """One pass: the bytes in the cells of every search's range."""
+def _count_cells(rows: DataFrame, running: list[Search], dims: Sequence[str]) -> None:
+    """One pass: the bytes in the cells of every search's range. Rows of other nodes fall out in the same join."""
     wanted = _few(
-        here.sparkSession, [(s.first, s.dim, s.on_tie, s.value, s.lo, s.hi, s.width) for s in running],
+        rows.sparkSession, [(s.first, s.dim, s.on_tie, s.value, s.lo, s.hi, s.width) for s in running],
         "_node int, dim int, on_tie boolean, value long, lo long, hi long, width long")
-    searched = here.join(wanted, "_node").withColumn("_key", F.when(F.col("on_tie"), F.col(TIE)).otherwise(_value(dims)))
+    searched = rows.join(wanted, "_node").withColumn("_key", F.when(F.col("on_tie"), F.col(TIE)).otherwise(_value(dims)))
     inside = searched.filter(
         F.col("_key").between(F.col("lo"), F.col("hi")) & (F.col("value").isNull() | (_value(dims) == F.col("value"))))
     counted = inside.groupBy("_node", F.expr("(_key - lo) div width").alias("_cell")).agg(
@@ -224,22 +225,21 @@ def kd_shards(
     narrow = cut(rows.drop("_row", "id", "crc32"))
     if target_bytes:
         shards = max(1, ceil((narrow.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    tree = grow(narrow, keys, shards)
+    tree, fallen = grow(narrow, keys, shards)
 
-    counts = descend(narrow, tree, keys).groupBy(F.col("_node").alias("shard")).count().collect()  # one row per shard
+    counts = fallen.groupBy(F.col("_node").alias("shard")).count().collect()  # one row per shard
     blocks = F.lit(1)
     for c in counts:
         if c["count"] > SLOT_ROWS:
             blocks = F.when(F.col("shard") == c["shard"], ceil(c["count"] / SLOT_ROWS)).otherwise(blocks)
 
     def in_blocks(df: DataFrame) -> DataFrame:
-        return descend(df, tree, keys).withColumnRenamed("_node", "shard").withColumn(
-            "_block", F.pmod(F.col(TIE), blocks).cast("int"))
+        return df.withColumnRenamed("_node", "shard").withColumn("_block", F.pmod(F.col(TIE), blocks).cast("int"))
 
-    sizes = in_blocks(narrow).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
+    sizes = in_blocks(fallen).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     order = Window.partitionBy("shard", "_block").orderBy("id", "crc32", TIE)
     slot = F.col("_offset") + F.row_number().over(order) - 1
-    placed = in_blocks(rows).join(offsets, ["shard", "_block"])
+    placed = in_blocks(descend(rows, tree, keys)).join(offsets, ["shard", "_block"])
     return placed.select("_row.*", F.struct("size", "crc32", "shard", slot.cast("long").alias("slot")).alias("_shard"))
