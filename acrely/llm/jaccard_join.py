@@ -268,11 +268,11 @@ def _named_in(ids: DataFrame, column: str, name: Column) -> Column:
     most other rows out of a join."""
     place = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << BITMAP_BITS))
     words = ids.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT) AS w")).agg(
-        F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))")).collect()
+        F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("bits")).toArrow()  # of fixed size, not a Python object per word
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for w, bits in words:
-        bitmap[w] = bits
-    held = ids.sparkSession.createDataFrame([(bitmap.tolist(),)], "bits array<long>")
+    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
+    whole = pa.ListArray.from_arrays(pa.array([0, len(bitmap)], pa.int32()), pa.array(bitmap))
+    held = ids.sparkSession.createDataFrame(pa.table({"bits": whole}))
     here = F.pmod(F.xxhash64(name), F.lit(1 << BITMAP_BITS))
     word = F.element_at(held.scalar(), (F.floor(here / 64) + 1).cast("int"))
     return F.getbit(word, (here % 64).cast("int")) == 1
