@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = "8m"  # of a batch that is sent to a Python worker
+
 _SHIPPED: set[str] = set()
 
 
@@ -76,9 +78,11 @@ def ship(spark: SparkSession) -> None:
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on. Methods beyond the JIT limit of the JVM would run
-    interpreted, so generated code above it is split per operator instead."""
+    interpreted, so generated code above it is split per operator instead. What a Python worker holds at a
+    time is bounded in bytes, as ten thousand rows may be long texts."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     ship(spark)
 
 
