@@ -82,7 +82,7 @@ class ListingPreprocessor:
         self.feature_columns = [
             c for c in df.columns
             if c not in NOT_FEATURES and (c in present or (c in numbers and c not in text))]
-        self.split_limit = holdout_limit(df, fraction=self.test_fraction, seed=self.seed)
+        self.split_limit = holdout_limit(df, fraction=self.test_fraction, seed=self.seed) if self.test_fraction else -1
         train = holdout(df, seed=self.seed, limit=self.split_limit).filter(~F.col("is_test"))
         self.scale = standard_params(self._numeric(train), self.feature_columns)
         return self

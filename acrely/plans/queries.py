@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from acrely.functions import labels, money
 from acrely.functions.numeric import at_least_zero, lookup, number_or_zero, rnd
 from acrely.functions.sql_functions import register
 from acrely.operators import (
-    activity, anomaly, enquiries, features, inventory, invest, models, prep, profile, ranks, recommend, validate,
+    activity, anomaly, enquiries, features, inventory, invest, models, prep, profile, ranks, recommend, stages, validate,
 )
 from acrely.plans.market import Market, train_and_report
 from acrely.plans.stored import LineUp
@@ -855,6 +856,16 @@ def prepared_features(spark, d):
         *[rnd(x[i], 4).alias(c) for i, c in enumerate(again.feature_columns)])
 
 
+@query
+def preparation_stage(spark, d):
+    """The same as a stage of a stored `pyspark.ml` pipeline, scaled over all rows."""
+    path, rows = fresh_dir(spark, "stages"), cut(features.enrich(_learnable(spark, d)))
+    Pipeline(stages=[stages.ListingPreparation(testFraction=0.0)]).fit(rows).write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    x = vector_to_array("features")
+    return again.transform(rows).select("property_id", "label", *[rnd(x[i], 4).alias(c) for i, c in enumerate(again.stages[0].feature_columns)])
+
+
 def _gradient(spark, d, name, alpha=0.0):
     """The normal equations of a linear fit: what is left of them, per feature and for the intercept."""
     line = _line_up(spark, d)

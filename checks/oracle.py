@@ -595,6 +595,8 @@ moments AS (SELECT {', '.join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0
   FROM filled WHERE NOT is_test)
 SELECT property_id, CAST(is_test AS INTEGER) AS is_test, label, {', '.join(r(f'({c} - m_{c}) / s_{c}', 4) + f' AS {c}' for c in CODED_FEATURES + NUMBER_FEATURES)}
 FROM filled, moments"""
+ORACLE["preparation_stage"] = ORACLE["prepared_features"].replace("FROM filled WHERE NOT is_test", "FROM filled").replace(
+    "CAST(is_test AS INTEGER) AS is_test, ", "")
 NO_GRADIENT = "SELECT CAST(i AS INTEGER) AS position, 0::DOUBLE AS gradient FROM range(19) t(i)"
 HELD = "CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT)"
 MODELS = ["Linear Regression", "Ridge Regression", "Random Forest", "Gradient Boosting", "Neural Network"]
