@@ -130,3 +130,16 @@ def test_scoring_arriving_listings(spark, data, lines, listings, tmp_path):
     jobs.finish(jobs.score_listings(arriving, detector, out, str(tmp_path / "state")))
     columns = ["property_id", "z_score_price", "anomaly_flag", "anomaly_reason"]
     same(spark.read.parquet(out).select(columns), detector.detect(listings).select(columns))
+
+
+def test_arriving_files_grow_in_number_not_in_size(spark, data, monkeypatch):
+    from acrely.plans import queries
+    seen = []
+    monkeypatch.setattr(queries, "ARRIVING_ROWS", 500)
+    monkeypatch.setattr(queries.jobs, "follow", lambda spark, path, pattern, files_per_batch: seen.append((path, files_per_batch)))
+    queries._arriving(spark, data, "lineitem")
+    (path, per_batch), = seen
+    rows = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    raw = spark.read.parquet(f"{data}/lineitem.parquet")
+    assert per_batch == -(-raw.count() // 2000) and max(rows) < 1000
+    assert spark.read.parquet(path).exceptAll(raw).count() == 0 and sum(rows) == raw.count()
