@@ -195,3 +195,19 @@ def test_registered_models_have_the_default_sizes(spark):
     boosted = queries.CANDIDATES["Gradient Boosting"](None)
     forest, boosted = forest.settings, boosted.settings
     assert (forest.trees, forest.depth, boosted.rounds, boosted.depth) == (200, 15, 300, 6)
+
+
+def test_rows_are_dealt_once_an_epoch(spark):
+    """Every row is in one step of the epoch, in the order in which its shard's batches have it; empty steps are there."""
+    _, _, df = matrix(spark, n=60)
+    fitted = net.PriceNetwork(net.Settings(shard_rows=25))
+    blocks = net._blocks(df, 60, False, fitted)
+    dealt = net._dealt(blocks, 42, 3, 40)
+    parts = dealt.collect()
+    assert len(parts) == 40 * blocks.count() and sum(p.n for p in parts) == 60 and min(p.n for p in parts) == 0
+    for block in blocks.collect():
+        rows = net.Batches(*net._rows(block), 42)
+        wanted = {rows.take(3, step, 40)[2].tobytes() for step in range(40)}
+        assert wanted <= {bytes(p.h) for p in parts}
+    assert all(net._rows(p)[0].shape == (p.n, p.inputs) for p in parts)
+    dealt.unpersist()
