@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from acrely.operators import quantiles
 from acrely.operators.quantiles import exact_quantiles, table_quantiles, value_at_rank
-from acrely.operators.ranks import holdout, ordinals
+from acrely.operators.ranks import holdout, holdout_limit, ordinals, split_column, with_split_key
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 1.0]
 
@@ -53,6 +55,17 @@ def test_tiny_bound_still_finishes(spark):
     assert table_quantiles(df, ["x"], [0.5], bound=1)["x"][0] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("bound", [8_192, 3, 1])
+def test_whole_table_counts_rows_as_wide_as_they_are(spark, monkeypatch, bound):
+    inf, nan = float("inf"), float("nan")
+    rows = [(nan, -0.0, None, 1), (inf, 0.0, None, 2), (-inf, -5e-324, None, None), (1.0, 1e308, None, 4), (2.5, -1e308, None, 4)] * 3
+    df = spark.createDataFrame(rows + [(7.0, 1.0, None, 9)], "a double, b double, c double, d int").repartition(3)
+    want = {r["column"]: tuple(r[f"q{i}"] for i in range(len(PROBS))) for r in exact_quantiles(df, df.columns, PROBS).collect()}
+    monkeypatch.delattr(quantiles, "_long")  # a row per value would be as many times the rows as there are columns
+    got = table_quantiles(df, df.columns, PROBS, bound=bound)
+    assert list(got) == ["a", "b", "d"] and {c: repr(v) for c, v in got.items()} == {c: repr(v) for c, v in want.items()}
+
+
 @pytest.mark.parametrize("few", [4_096, 5])
 def test_value_at_rank(spark, few):
     rng = np.random.default_rng(3)
@@ -86,3 +99,12 @@ def test_holdout_is_exact_and_independent_of_partitions(spark):
     first = {r.property_id for r in holdout(df).filter("is_test").collect()}
     second = {r.property_id for r in holdout(df.repartition(7)).filter("is_test").collect()}
     assert len(first) == 201 and first == second  # ceil(0.2 * 1003)
+
+
+def test_holdout_by_a_held_key_is_the_same(spark):
+    df = spark.createDataFrame([(f"L{i % 900}",) for i in range(1003)] + [(None,)], "property_id string")
+    held = with_split_key(df)
+    assert holdout_limit(held) == holdout_limit(df)
+    assert sorted(map(str, holdout(held).drop(split_column()).collect())) == sorted(map(str, holdout(df).collect()))
+    zero = held.withColumn(split_column(), F.lit(0).cast("long"))
+    assert holdout(zero, limit=0).filter("is_test").count() == 1004  # the column is read, not hashed again
